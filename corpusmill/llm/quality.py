@@ -99,6 +99,11 @@ def fires(rule: str, cutoff: Column | float) -> Column:
     return F.col(rule) >= cutoff if CUTOFFS[rule][0] == "above" else F.col(rule) <= cutoff
 
 
+def _best_cutoff(tests: Column) -> Column:
+    usable = F.transform(tests, lambda x, i: F.when(F.forall(F.slice(tests, F.lit(1), i + 1), lambda y: y["sure"]) & (x["gain"] > 0), F.struct(x["gain"], -x["i"], x["cut"])))
+    return F.array_max(F.filter(usable, lambda x: x.isNotNull()))["cut"]
+
+
 def select_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: str, max_risk: float = MAX_RISK, error: float = ERROR) -> DataFrame:
     """One row per stratum: ``stratum`` and the chosen cutoff of each rule (null: none is certified).
 
@@ -118,12 +123,19 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: st
             sums += [F.sum((is_good & fires(rule, cut)).cast("long")).alias(f"g_{rule}_{i}"), F.sum((~is_good & fires(rule, cut)).cast("long")).alias(f"b_{rule}_{i}")]
     counts = materialize(held.groupBy(stratum).agg(*sums))
     level = error / (max(1, counts.count()) * len(CUTOFFS))
-    chosen = []
-    for rule, (_, cuts) in CUTOFFS.items():
-        tried = F.array(*[F.struct((binomial_tail(F.col(f"g_{rule}_{i}"), F.col("n_good"), max_risk) <= level).alias("sure"), (F.col(f"b_{rule}_{i}") / F.greatest("n_bad", F.lit(1)) - F.col(f"g_{rule}_{i}") / F.greatest("n_good", F.lit(1))).alias("gain"), F.lit(-i).alias("order"), F.lit(cut).alias("cut")) for i, cut in enumerate(cuts)])
-        passed = lambda t: F.transform(t, lambda x, i: F.when(F.forall(F.slice(t, F.lit(1), i + 1), lambda y: y["sure"]) & (x["gain"] > 0), F.struct(x["gain"], x["order"], x["cut"])))
-        chosen.append(F.array_max(F.filter(passed(tried), lambda x: x.isNotNull()))["cut"].alias(f"cut_{rule}"))
-    return counts.select(F.col(stratum).alias("__stratum"), *chosen)
+    cells = [F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(cut).alias("cut"), F.col(f"g_{rule}_{i}").alias("g"), F.col(f"b_{rule}_{i}").alias("b")) for rule, (_, cuts) in CUTOFFS.items() for i, cut in enumerate(cuts)]
+    tested = counts.select(stratum, "n_good", "n_bad", F.explode(F.array(*cells)).alias("c")).select(
+        stratum,
+        "c.rule",
+        F.struct(
+            F.col("c.i").alias("i"),
+            (binomial_tail(F.col("c.g"), F.col("n_good"), max_risk) <= level).alias("sure"),
+            (F.col("c.b") / F.greatest("n_bad", F.lit(1)) - F.col("c.g") / F.greatest("n_good", F.lit(1))).alias("gain"),
+            F.col("c.cut").alias("cut"),
+        ).alias("test"),
+    )
+    best = tested.groupBy(stratum, "rule").agg(F.sort_array(F.collect_list("test")).alias("tests")).select(stratum, "rule", _best_cutoff(F.col("tests")).alias("cut"))
+    return best.groupBy(F.col(stratum).alias("__stratum")).agg(*[F.max(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in CUTOFFS])
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", max_risk: float = MAX_RISK, error: float = ERROR, max_broadcast_strata: int = 10_000) -> DataFrame:

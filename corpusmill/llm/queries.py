@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from corpusmill.llm.chat import OP2_SQL, op2_chat_format
 from corpusmill.llm.mixing import op7_source_mix
+from corpusmill.llm.simhash import op1_simhash_dedup
 from corpusmill.llm.quality import OP4_SQL, op4_quality_rules
 from corpusmill.llm.urls import OP3_SQL, op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_url_filter, op4_quality_rules, op7_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_chat_format, op3_url_filter, op4_quality_rules, op7_source_mix)}
 SQL = {"op2_chat_format": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality_rules": OP4_SQL}

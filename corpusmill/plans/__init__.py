@@ -1,0 +1,6 @@
+"""Queries of the library over the driver's tables."""
+
+from corpusmill.plans import cleaning
+from corpusmill.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "cleaning"]

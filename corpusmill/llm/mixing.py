@@ -81,8 +81,8 @@ def by_size(a: Column, b: Column) -> Column:
     return F.when(a["size"] != b["size"], sign(b["size"], a["size"])).when(ids != 0, ids).otherwise(sign(a["tie"], b["tie"]))
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 7, chunk: int = 256, max_broadcast_sources: int = 10_000) -> DataFrame:
-    """``key``, ``source``, size, source_size, target, copies, taken (copies * size) for every row of ``docs``.
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 7, chunk: int = 256, max_broadcast_sources: int = 10_000, carry: list[str] | None = None) -> DataFrame:
+    """``key``, ``source`` (or the columns ``carry``), size, source_size, target, copies, taken (copies * size) for every row of ``docs``.
 
     Each document of a source is to be copied target / source_size times: the whole part is fixed, the
     fraction is rounded by the pivotal method, which keeps the source's expected words but for one open
@@ -92,17 +92,24 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     last and is a source of its own; null or repeated keys are told apart by a hash of the row, equal rows
     by their number. An empty table gives no rows. The same input gives the same mix.
     """
-    rows = docs.select(F.col(key).alias("__id"), F.col(source).alias("__source"), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("__tie"))
-    rows = materialize(rows)
-    targets = source_targets(rows.groupBy("__source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), "__source", list(weights), share, ceiling)
-    counts = rows.where(F.col("size") > 0).groupBy("__source").agg(F.count("*").alias("n"))
+    keep = [key, source] if carry is None else carry
+    measured = [F.col(key).alias("__id"), F.col(source).alias("__source"), count_words(F.col(text)).alias("__size"), F.xxhash64(F.col(text)).alias("__tie")]
+    narrow = docs.select(*measured)
+    rows = materialize(narrow)
+    targets = source_targets(rows.groupBy("__source").agg(F.sum("__size").alias("source_size")), "__source", list(weights), share, ceiling)
+    counts = rows.where(F.col("__size") > 0).groupBy("__source").agg(F.count("*").alias("n"))
     plan = materialize(targets.alias("t").join(counts.alias("c"), F.col("t.__source").eqNullSafe(F.col("c.__source")), "left").select(F.col("t.__source").alias("__s"), "source_size", "target", F.coalesce("n", F.lit(0)).alias("n")))
     most = plan.agg(F.max("n")).first()[0] or 0
-    rate = F.col("target") / F.col("source_size")
-    placed = rows.join(broadcast_within(plan, max_broadcast_sources), F.col("__source").eqNullSafe(F.col("__s")))
-    placed = placed.withColumn("whole", F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int")).withColumn("part", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
+    plan = broadcast_within(plan.select("__s", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("n").alias("__chunks")), max_broadcast_sources)
+
+    def place(df: DataFrame) -> DataFrame:
+        rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
+        df = df.join(plan, F.col("__source").eqNullSafe(F.col("__s")))
+        return df.withColumn("__whole", F.floor(rate).cast("int")).withColumn("__part", rate - F.floor(rate))
+
     # Equal rows share id and tie: they are one item with their number, counted out again below.
-    open_rows = placed.where(F.col("part") > 0).select("__source", F.struct(F.col("__id").alias("id"), "size", "part", F.col("__tie").alias("tie")).alias("item"), F.pmod(F.xxhash64("__id", "__tie"), F.greatest(F.ceil(F.col("n") / chunk), F.lit(1))).alias("slot"))
+    item = F.struct(F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__part").alias("part"), F.col("__tie").alias("tie"))
+    open_rows = place(rows).where(F.col("__part") > 0).select("__source", item.alias("item"), F.pmod(F.xxhash64("__id", "__tie"), F.greatest(F.ceil(F.col("__chunks") / chunk), F.lit(1))).alias("slot"))
     settled, left, slots = [], open_rows, most
     while True:
         slots = -(-slots // chunk)
@@ -114,12 +121,14 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         left = folded.select("__source", F.col("fold.open").alias("item"), F.floor(F.col("slot") / chunk).alias("slot"))
     decided = reduce(DataFrame.unionByName, settled)
     extras = decided.groupBy("__source", F.col("d.id").alias("__id"), F.col("d.tie").alias("__tie")).agg(F.sum("d.extra").alias("extra"))
-    # Nulls are equal here: join on non-null stand-ins, hashed once.
-    stand_in = lambda df: df.withColumn("__row", F.struct(F.coalesce(F.col("__id"), F.lit(0)).alias("a"), F.col("__id").isNull().alias("b"), F.coalesce(F.col("__source"), F.lit("")).alias("c"), F.col("__source").isNull().alias("d"), F.col("__tie").alias("e")))
-    numbered = stand_in(placed).withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("size")))
-    joined = numbered.join(stand_in(extras).select("__row", "extra"), "__row", "left")
-    copies = (F.col("whole") + (F.col("__n") <= F.coalesce("extra", F.lit(0))).cast("int")).cast("long")
-    return joined.select(F.col("__id").alias(key), F.col("__source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    # Nulls are equal here: rows meet on non-null stand-ins, by which they are numbered too, in one shuffle.
+    stand_in = F.struct(F.coalesce(F.col("__id"), F.lit(0)).alias("a"), F.col("__id").isNull().alias("b"), F.coalesce(F.col("__source"), F.lit("")).alias("c"), F.col("__source").isNull().alias("d"), F.col("__tie").alias("e"))
+    wide = rows.withColumns({key: F.col("__id"), source: F.col("__source")}) if carry is None else docs.select(*carry, *measured)
+    numbered = place(wide).withColumn("__row", stand_in)
+    joined = numbered.join(extras.select(stand_in.alias("__row"), F.col("extra").alias("__extra")), "__row", "left")
+    joined = joined.withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("__row")))
+    copies = (F.col("__whole") + (F.col("__n") <= F.coalesce("__extra", F.lit(0))).cast("int")).cast("long")
+    return joined.select(*keep, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,15 +138,18 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: st
     return best.groupBy(F.col(stratum).alias("__stratum")).agg(*[F.max(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in CUTOFFS])
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", max_risk: float = MAX_RISK, error: float = ERROR, max_broadcast_strata: int = 10_000) -> DataFrame:
-    """``key``, ``stratum``, the counts and metrics, base_failed, rejected_by (array of rules) and kept.
+def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", max_risk: float = MAX_RISK, error: float = ERROR, max_broadcast_strata: int = 10_000, carry: list[str] | None = None) -> DataFrame:
+    """``key``, ``stratum`` (or the columns ``carry``), the counts and metrics, base_failed, rejected_by (array of rules) and kept.
 
     Null text has no words and fails the base rules. Labels with a null key or a quality other than 0 and 1
     are ignored. A null stratum is one of its own. Without labels only the base rules reject. Repeated rows
-    are judged each. Very long texts are handled within their row; other columns are ignored.
+    are judged each. Very long texts are handled within their row; other columns are ignored. With ``carry``
+    the texts are measured a second time rather than joined back, so that no text is shuffled.
     """
-    measured = materialize(measure(docs, text, [key, stratum]))
+    measured = materialize(measure(docs.select(key, text, stratum), text, [key, stratum]))
     cutoffs = materialize(select_cutoffs(measured, labels, key, stratum, max_risk, error))
+    if carry is not None:
+        measured = measure(docs, text, list(dict.fromkeys([*carry, stratum])))
     joined = measured.join(broadcast_within(cutoffs, max_broadcast_strata), F.col(stratum).eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
     by = F.filter(F.array(*[F.when(fires(rule, F.col(f"cut_{rule}")), F.lit(rule)) for rule in CUTOFFS]), lambda x: x.isNotNull())
     out = joined.withColumn("rejected_by", by).drop(*[f"cut_{rule}" for rule in CUTOFFS])

@@ -39,15 +39,16 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
 
 
-def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(``key``, fp long) for each row; null text has no words, so fingerprint 0."""
-    rows = docs.select(F.col(key), F.col(text).cast("binary").alias("__text"))
-    schema = rows.select(key, F.lit(0).cast("long").alias("fp")).schema
+def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, extra: Column | None = None) -> DataFrame:
+    """(``key``, ``extra`` if given, fp long) for each row; null text has no words, so fingerprint 0."""
+    more = [] if extra is None else [extra.alias("extra")]
+    rows = docs.select(F.col(text).cast("binary").alias("__text"), F.col(key), *more)
+    schema = rows.select(*rows.columns[1:], F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[key, "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(0)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -302,22 +303,22 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """(``key``, fp, root, component_id) for each row: rows whose fingerprints are linked share root (the least linked fingerprint) and component_id (the least key).
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4, extra: Column | None = None) -> DataFrame:
+    """(``key``, ``extra`` if given, fp, root, component_id) for each row: rows whose fingerprints are linked share root (the least linked fingerprint) and component_id (the least key).
 
     Texts are read whole. Null or empty texts have fingerprint 0, linked like any other. Rows with a null key
     count as members; component_id is null only if no row of the component has a key. Equal fingerprints are
     one item of the index, so that groups of exact copies of any size cost one row each. Repeated rows stay;
     an empty table gives no rows; other columns are ignored.
     """
-    rows = materialize(simhash(docs, key, text, width))
+    rows = materialize(simhash(docs, key, text, width, extra))
     distinct = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")))
     roots = materialize(connected_components(hamming_links(distinct.select("fp"), distance)))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked)
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = linked.select("fp", "root").join(named, "root")
-    return rows.join(by_fp, "fp").select(key, "fp", "root", "component_id")
+    return rows.join(by_fp, "fp").select(*[c for c in rows.columns if c != "fp"], "fp", "root", "component_id")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,9 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 found = list(bpe.encode(texts))
                 columns = [b.column(0).slice(at, len(texts)), pa.array([len(i) // 4 for i, _ in found], pa.int64())]
                 if ids:
-                    columns += [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.string())]
+                    ends = np.cumsum([0, *[len(i) // 4 for i, _ in found]]).astype(np.int32)
+                    flat = pa.array(np.frombuffer(b"".join([i for i, _ in found]), "<i4"), pa.int32())
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([d for _, d in found], pa.string())]
                 columns += [pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()), pa.array([hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 at += len(texts)

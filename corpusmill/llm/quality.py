@@ -57,7 +57,7 @@ def measure(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         "n_repeat_words",
     ).drop("__words")
     ratio = lambda a, b: F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "symbol_ratio": ratio("n_symbols", "n_words"),
             "upper_ratio": ratio("n_upper", "word_chars"),
@@ -67,6 +67,10 @@ def measure(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }
     )
+    # A generator of one row: a filter on the metrics isn't moved below it, where it would repeat all the
+    # expressions above for each use.
+    metrics = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.explode(F.array(F.struct(*metrics))).alias("__m")).select(*keep, "__m.*")
 
 
 def log_gamma(x: Column) -> Column:

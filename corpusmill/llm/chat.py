@@ -39,10 +39,12 @@ def pieces(formatted: Column) -> Column:
     """What follows each start marker; (role, text) as they stand in the template, null where the grammar is broken."""
     parts = F.split(formatted, r"<\|im_start\|>")
     body = lambda p: F.substr(p, F.instr(p, "\n") + 1)
+    # "<|" opens a control string: the end marker's is the only one that a piece may have.
+    closed = lambda p: F.endswith(p, F.lit(END)) & (F.instr(p, "<|") == F.length(p) - len(END) + 1)
     return F.transform(
         F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
         lambda p: F.when(
-            F.endswith(p, F.lit(END)) & (F.instr(p, "\n") > 0) & (F.get(parts, F.lit(0)) == ""),
+            closed(p) & (F.instr(p, "\n") > 0) & (F.get(parts, F.lit(0)) == ""),
             F.struct(F.substring_index(p, "\n", 1).alias("role"), F.substr(body(p), F.lit(1), F.greatest(F.length(body(p)) - len(END), F.lit(0))).alias("text")),
         ),
     )

@@ -177,9 +177,9 @@ def made_findings(n: int, seed: int) -> list[tuple[str, tuple[int, int], int]]:
     for _ in range(n):
         good = r.random() < 0.5
         value = r.choice(secret if good else plain)()
-        before = " ".join(word() for _ in range(4))
+        before = " ".join(word() for _ in range(r.randint(0, 5)))
         lead = r.choice([" ", " key: ", ' "', " auth=", " credential ", " (", " bearer ", "="]) if good else r.choice([" ", " id ", " (", ' "', " no. ", ": "])
-        text = before + lead + value + r.choice([" ", '" ', ". ", ") ", "\n"]) + word()
+        text = before + lead + value + r.choice(["", " ", '"', ".", ")", "\n"]) + r.choice(["", " ", " " + word()])
         at = len(before) + len(lead)
         out.append((text, (at, at + len(value)), int(good)))
     return out

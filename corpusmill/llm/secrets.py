@@ -116,7 +116,7 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * z + self.shift)))
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 3, steps: int = 250, min_recall: float = 0.98) -> Network:
+def train(x: np.ndarray, y: np.ndarray, seed: int = 3, steps: int = 200, min_recall: float = 0.98) -> Network:
     """Fit by Adam on four fifths; on the rest, calibrate by Platt's scaling, then take the highest threshold that still finds ``min_recall`` of the secrets, and 0.5 at least."""
     r = np.random.default_rng(seed)
     order = r.permutation(len(x))
@@ -186,7 +186,11 @@ def made_findings(n: int, seed: int) -> list[tuple[str, tuple[int, int], int]]:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 2000, max_findings: int = 4000, made: int = 3000, seed: int = 3) -> Network:
-    """Train on labelled findings: those that rules settle in at most about ``max_docs`` documents chosen by a hash of the key (positive: in a rule's span; negative: in none), at most ``max_findings``, and ``made`` made ones."""
+    """Train on labelled findings: those that rules settle in at most about ``max_docs`` documents chosen by a hash of the key (positive: in a rule's span; negative: in none), at most ``max_findings``, and ``made`` made ones.
+
+    A run in no rule's span may be a secret that no rule knows. So a first network learns from the positives
+    and the made findings, and the negatives that it takes for secrets are left out for the second.
+    """
     every = max(1, -(-docs.count() // max_docs))
     rows = docs.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.coalesce(F.col(text), F.lit("")).alias("t"))
 
@@ -203,7 +207,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
     own = made_findings(made, seed)
     x = np.stack([np.frombuffer(bytes(f["x"]), np.uint8) for f in sample] + [encode(t, s) for t, s, _ in own])
     y = np.array([f["y"] for f in sample] + [g for _, _, g in own], np.float32)
-    return train(x, y, seed)
+    found = np.arange(len(x)) < len(sample)
+    sure = ~found | (y == 1)
+    first = train(x[sure], y[sure], seed)
+    sure[found & (y == 0)] = first.probability(x[found & (y == 0)]) < 0.5
+    return train(x[sure], y[sure], seed)
 
 
 # -- the scan -------------------------------------------------------------------------------------

@@ -175,7 +175,7 @@ def test_secret_network_and_rows(spark):
     made = secrets.made_findings(300, 77)
     hidden = 'see key: "Zx9Qw3Lk7Pn2Vb8Rt5Yh1Mc4Df6Gj0S" ok'
     rows = [(i, f"calm words here {i} and there, no. 4644348398{i:06d}x", "s") for i in range(50)]
-    rows += [(100, 'token = "24be64439e3e49cf46b2d7c90f3602a3"', "s"), (101, hidden, "s"), (102, None, "s"), (None, "", "s"), (103, "a" * 300_000, "s"), (101, hidden, "s")]
+    rows += [(100, 'token = "24be64439e3e49cf46b2d7c90f3602a3"', "s"), (101, hidden, "s"), (102, None, "s"), (None, "", "s"), (103, "z" * 300_000, "s"), (101, hidden, "s")]
     df = spark.createDataFrame(rows, DOCS)
     net = secrets.learn(df)
     p = net.probability(np.stack([secrets.encode(t, s) for t, s, _ in made]))
@@ -186,6 +186,6 @@ def test_secret_network_and_rows(spark):
     by = {x["doc_id"]: x for x in out}
     assert [s["kind"] for s in by[100]["spans"]] == ["assign", "hex"] and by[100]["redacted"] == 'token = "[SECRET]"'
     assert [s["kind"] for s in by[101]["spans"]] == ["model"] and "Zx9" not in by[101]["redacted"]
-    assert by[102]["redacted"] is None and by[103]["redacted"] == "a" * 300_000 and by[3]["redacted"].startswith("calm words")
+    assert by[102]["redacted"] is None and by[103]["redacted"] == "z" * 300_000 and by[3]["redacted"].startswith("calm words")
     assert secrets.scan_secrets(spark.createDataFrame([], DOCS), net).count() == 0
     assert df.select(F.col("spans")).columns == ["spans"]

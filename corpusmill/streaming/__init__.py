@@ -1,0 +1 @@
+"""Checkpoint logs as streams."""

@@ -252,6 +252,18 @@ def completeness(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in df.columns])
 
 
+def sums_before(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over all rows before this one in ``order`` (distinct), by range partitions: sums within each, and the totals of those before it."""
+    from corpusmill.sources.session import materialize
+
+    placed = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    # As many rows as the exchange has partitions.
+    totals = placed.groupBy("__part").agg(F.sum(value).alias("__t")).select("__part", F.sum("__t").over(before).alias("__before"))
+    within = F.sum(value).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return placed.withColumn("__within", within).join(F.broadcast(totals), "__part").withColumn(out, F.coalesce("__before", F.lit(0)) + F.coalesce("__within", F.lit(0))).drop("__part", "__before", "__within")
+
+
 def number_rows(df: DataFrame, order: list[str], out: str, start: int = 1) -> DataFrame:
     """Consecutive numbers in ``order`` without a single-task sort: rows are range-partitioned and sorted, and each partition starts after the counts of those before it."""
     from corpusmill.sources.session import materialize
@@ -366,8 +378,9 @@ def _tag(items: Column, path: str) -> Column:
 
 def value_counts(df: DataFrame, columns: list[str], share: bool = False) -> DataFrame:
     """A1-A3: rows by combination of values, nulls dropped; with their share of all if wanted."""
-    out = df.dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("n"))
-    return out.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())) if share else out
+    kept = df.dropna(subset=columns)
+    out = kept.groupBy(*columns).agg(F.count("*").alias("n"))
+    return out.withColumn("share", F.col("n") / F.lit(max(1, kept.count()))) if share else out
 
 
 def samples(df: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
+from corpusmill.operators.cleaning import sums_before
 from corpusmill.operators.rewrites import FAILED
 
 
@@ -125,8 +125,7 @@ def report(df: DataFrame, label: str = "label", prediction: str = "prediction")
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """M6: the area under the ROC curve by rank sums over distinct scores; ties count half."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    wins = per.withColumn("w", F.col("pos") * (below + F.col("neg") / 2))
+    wins = sums_before(per, ["s"], "neg", "below").withColumn("w", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return wins.agg((F.sum("w") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 

@@ -22,7 +22,7 @@ START = ENDINGS * PER_ENDING  # the restaurant of a text's first word
 SLOTS = START + 1
 LEVELS = (1, ENDINGS + 1, SLOTS)  # restaurants of a level: all words, endings, previous words
 END = np.uint64(0)  # the id of the end token
-BLOCK = 1_500_000  # tokens held at once
+BLOCK = 1_000_000  # tokens held at once
 
 
 # -- packing --------------------------------------------------------------------------------------
@@ -369,7 +369,7 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
     an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key), F.col(text).cast("binary").alias("__text"), F.coalesce(F.col(train), F.lit(False)).alias("__train"))
     blocks = materialize(rows.mapInArrow(_count_blocks(buckets), ROWS))
     responses, totals = fit_and_respond(blocks)

@@ -88,10 +88,10 @@ class Trigrams:
         return run(text)
 
 
-def learn_trigrams(df: DataFrame, text: str, lang: str, key: str, per_language: int = 50, chars: int = 2000) -> Trigrams:
+def learn_trigrams(df: DataFrame, text: str, lang: str, key: str, per_language: int = 50) -> Trigrams:
     """Profiles from at most ``per_language`` texts of each language, chosen by a hash of the key."""
     order = W.partitionBy(lang).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    rows = df.select(lang, key, F.substring(text, 1, chars).alias("t")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
+    rows = df.select(lang, key, F.col(text).alias("t")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
     joined = rows.groupBy(lang).agg(F.concat_ws(" ", F.sort_array(F.collect_list("t"))).alias("t")).where(F.col(lang).isNotNull()).collect()
     return Trigrams({r[0]: r[1] for r in joined})
 

@@ -231,27 +231,27 @@ def roundtrip_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zipped(spark: SparkSession, sf_dir: str) -> str:
-    """Documents of 500 characters or less, zipped by shard into the shared folder; returns that folder."""
+    """All documents zipped by shard into the shared folder, which must be mounted; returns that folder."""
     from urllib.parse import urlparse
 
     from corpusmill.sources.archives import pack_zips
 
     folder = urlparse(scratch_path(spark)).path
-    d = docs(spark, sf_dir).where("n_chars <= 500").select(shard_of(F.col("doc_id"), 3).alias("shard"), F.concat(F.lit("in/"), "doc_id", F.lit(".md")).alias("name"), F.col("text").cast("binary").alias("content"))
+    d = docs(spark, sf_dir).select(shard_of(F.col("doc_id"), 16).alias("shard"), F.concat(F.lit("in/"), "doc_id", F.lit(".md")).alias("name"), F.col("text").cast("binary").alias("content"))
     pack_zips(d, folder).collect()
     return "file://" + folder
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS stem, 'md' AS ext FROM documents WHERE n_chars <= 500")
+@query("SELECT CAST(doc_id AS VARCHAR) AS stem, 'md' AS ext FROM documents")
 def zip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.sources.archives import index_zips, list_zips, stem
 
     return index_zips(list_zips(spark, zipped(spark, sf_dir))).select(stem(F.col("name")).alias("stem"), F.lit("md").alias("ext"))
 
 
-@query("SELECT doc_id || '.md' AS name, md5(text) AS text_md5 FROM documents WHERE n_chars <= 500 AND doc_id % 10 = 3")
+@query("SELECT doc_id || '.md' AS name, md5(text) AS text_md5 FROM documents")
 def zip_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusmill.sources.archives import list_zips, read_text
 
-    found = read_text(list_zips(spark, zipped(spark, sf_dir), content=True)).where(F.col("stem").cast("long") % 10 == 3)
+    found = read_text(list_zips(spark, zipped(spark, sf_dir), content=True))
     return found.select("name", F.md5(F.col("text").cast("binary")).alias("text_md5"))

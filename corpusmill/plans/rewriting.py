@@ -88,9 +88,9 @@ def pending_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending(spark, sf_dir).select("id", "model", "type", "sent_idx", "percentage", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {PENDING} SELECT id, model, type, sent_idx FROM pending WHERE type <> 'percentage' ORDER BY CASE model WHEN 'beta' THEN 0 WHEN 'alpha' THEN 1 ELSE 99 END, CASE type WHEN 'sentence' THEN 0 ELSE 1 END, id, sent_idx LIMIT 200")
+@query(f"WITH {PENDING} SELECT id, model, type, sent_idx FROM pending WHERE type <> 'percentage' ORDER BY CASE model WHEN 'beta' THEN 0 WHEN 'alpha' THEN 1 ELSE 99 END, CASE type WHEN 'sentence' THEN 0 ELSE 1 END, id, sent_idx")
 def task_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.order_tasks(pending(spark, sf_dir).where("type <> 'percentage'"), ["beta", "alpha"]).select("id", "model", "type", "sent_idx").limit(200)
+    return R.order_tasks(pending(spark, sf_dir).where("type <> 'percentage'"), ["beta", "alpha"]).select("id", "model", "type", "sent_idx")
 
 
 @query(f"WITH {PENDING} SELECT id, model, type, sent_idx, percentage FROM (SELECT *, row_number() OVER (PARTITION BY model, type, percentage ORDER BY id, sent_idx) AS n FROM pending) WHERE n <= 5")
@@ -98,9 +98,9 @@ def debug_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_per_kind(pending(spark, sf_dir), 5).select("id", "model", "type", "sent_idx", "percentage")
 
 
-@query(f"SELECT doc_id, unnest(sents) AS text, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS sent_idx FROM {SENTENCES} WHERE length(text) <= 1000")
+@query(f"SELECT doc_id, unnest(sents) AS text, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS sent_idx FROM {SENTENCES}")
 def sentence_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sentence_tasks(with_sentences(spark, sf_dir).where("length(text) <= 1000"), "doc_id", "sents")
+    return R.sentence_tasks(with_sentences(spark, sf_dir), "doc_id", "sents")
 
 
 @query(f"SELECT conv_id, tagged, md5({TAGGED_TEXT}) AS digest FROM (SELECT conv_id, sents, {TAGGED.replace('p ', '50 ').replace(' p ', ' 50 ').replace('|| p ||', '|| 50 ||')} AS tagged FROM {BRIEF} WHERE len(sents) > 0)")
@@ -264,11 +264,11 @@ def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in X.page_facts(F.col("html")).items()])
 
 
-@query("""SELECT doc_id, 3 AS chapters, CAST(6 + (doc_id % 2) AS BIGINT) AS blocks FROM documents WHERE n_chars <= 500""")
+@query("""SELECT doc_id, 3 AS chapters, CAST(6 + (doc_id % 2) AS BIGINT) AS blocks FROM documents""")
 def outline_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")
+    words = F.regexp_replace("text", r"(?U)\s+", " ")
     parts = [F.lit("lead text"), F.lit("# One"), F.concat(F.lit("p "), words), F.lit("## Two\n\n- a\n- b\n\n### Deep"), F.concat(F.lit("q "), words), F.lit("para\ngoes on"), F.lit("# Last\n\n## Sub"), F.lit("end"), F.expr("CASE WHEN doc_id % 2 = 1 THEN 'more' ELSE '' END")]
-    md = docs(spark, sf_dir).where("n_chars <= 500").select("doc_id", F.concat_ws("\n\n", *parts).alias("md"))
+    md = docs(spark, sf_dir).select("doc_id", F.concat_ws("\n\n", *parts).alias("md"))
     return X.outline(md, "doc_id", "md").groupBy("doc_id").agg(F.count_distinct("chapter_no").cast("int").alias("chapters"), F.count("*").alias("blocks"))
 
 

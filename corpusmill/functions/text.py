@@ -126,3 +126,15 @@ def common_subsequence(a: Column, b: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.size(ys)), start, lambda r, j: F.concat(r, F.array(F.when(F.get(ys, j - 1) == x, F.get(acc, j - 1) + 1).otherwise(F.greatest(F.get(acc, j), F.get(r, j - 1))))))
 
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(F.aggregate(xs, first, row), -1))
+
+
+def html_to_markdown(c: Column) -> Column:
+    """Headings, list items, paragraphs and line breaks of simple HTML as Markdown; other tags go, common entities are decoded."""
+    s = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
+    for level in range(1, 7):
+        s = F.regexp_replace(s, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + " $1\n\n")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?is)<li[^>]*>(.*?)</li>", "\n- $1"), r"(?i)<br\s*/?>", "\n")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?i)</?(p|div|ul|ol|table|tr)[^>]*>", "\n\n"), r"<[^>]+>", "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        s = F.replace(s, F.lit(entity), F.lit(char))
+    return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))

@@ -394,3 +394,8 @@ def flatten_fully(c: Column, depth: int) -> Column:
         c = F.flatten(c)
     return c
 
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Floating columns with NaN as null, the one kind of missing value."""
+    return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})

@@ -28,11 +28,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The document of least doc_id of each group of linked fingerprints; of groups without any doc_id, one document.
 
     Rows meet on doc_id and a hash of the text, null being a value, and equal rows are numbered on the same
-    key, so texts are shuffled once.
+    key, so texts are shuffled once. (No field of the key may be nullable on one side alone: a cast would
+    come between, and the numbering would shuffle again.)
     """
     row = F.struct(F.coalesce(F.col("doc_id"), F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), F.xxhash64("text").alias("c"))
     judged = simhash.near_dedup(docs.select("doc_id", "text"), extra=F.xxhash64("text"))
-    kept = simhash.kept_of_groups(judged).select(F.struct(F.coalesce(F.col("doc_id"), F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("extra").alias("c")).alias("__row")).distinct()
+    kept = simhash.kept_of_groups(judged).select(F.struct(F.coalesce(F.col("doc_id"), F.lit(0)).alias("a"), F.col("doc_id").isNull().alias("b"), F.coalesce("extra", F.lit(0)).alias("c")).alias("__row")).distinct()
     out = docs.select(*COLUMNS, row.alias("__row")).join(kept, "__row", "left_semi")
     return out.withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("__row"))).where("__n = 1").select(*COLUMNS)
 

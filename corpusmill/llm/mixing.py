@@ -121,8 +121,9 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         left = folded.select("__source", F.col("fold.open").alias("item"), F.floor(F.col("slot") / chunk).alias("slot"))
     decided = reduce(DataFrame.unionByName, settled)
     extras = decided.groupBy("__source", F.col("d.id").alias("__id"), F.col("d.tie").alias("__tie")).agg(F.sum("d.extra").alias("extra"))
-    # Nulls are equal here: rows meet on non-null stand-ins, by which they are numbered too, in one shuffle.
-    stand_in = F.struct(F.coalesce(F.col("__id"), F.lit(0)).alias("a"), F.col("__id").isNull().alias("b"), F.coalesce(F.col("__source"), F.lit("")).alias("c"), F.col("__source").isNull().alias("d"), F.col("__tie").alias("e"))
+    # Nulls are equal here: rows meet on stand-ins that can't be null on either side (else a cast would come
+    # between and the numbering shuffle again), by which they are numbered too, in one shuffle.
+    stand_in = F.struct(F.coalesce(F.col("__id"), F.lit(0)).alias("a"), F.col("__id").isNull().alias("b"), F.coalesce(F.col("__source"), F.lit("")).alias("c"), F.col("__source").isNull().alias("d"), F.coalesce("__tie", F.lit(0)).alias("e"))
     wide = rows.withColumns({key: F.col("__id"), source: F.col("__source")}) if carry is None else docs.select(*carry, *measured)
     numbered = place(wide).withColumn("__row", stand_in)
     joined = numbered.join(extras.select(stand_in.alias("__row"), F.col("extra").alias("__extra")), "__row", "left")

@@ -2,48 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.sources.session import broadcast_within, materialize, shared_dir, table
+
+__all__ = ["SPACE", "WORD", "broadcast_within", "count_words", "lower_ascii", "materialize", "shared_dir", "table", "unit_hash", "words"]
+
 #: The white space of every word rule here: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage and survives lost executors; the table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only if it was counted to hold at most ``max_rows`` rows; else joins shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text, none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

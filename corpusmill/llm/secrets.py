@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ DIGIT = re.compile("[0-9]")
 LEFT, MIDDLE, RIGHT = 24, 40, 8
 WIDTH, FILTERS, CHANNELS = 5, 32, 12
 LENGTH = LEFT + MIDDLE + RIGHT
+STEP = 20  # between windows of a long candidate: any 20 characters lie whole in one of them
 
 Span = tuple[int, int, int, str]  # start, end, start of the value, kind
 
@@ -52,11 +54,23 @@ def overlaps(span: tuple[int, int], spans: list[Span]) -> bool:
     return any(s < span[1] and span[0] < e for s, e, _, _ in spans)
 
 
+def windows(span: tuple[int, int]) -> list[tuple[int, int]]:
+    """The span itself, or overlapping windows of ``MIDDLE`` characters over all of a longer one."""
+    s, e = span
+    return [(a, a + MIDDLE) for a in range(s, e - MIDDLE, STEP)] + [(max(s, e - MIDDLE), e)]
+
+
+def one_window(text: str, span: tuple[int, int]) -> tuple[int, int]:
+    """The window that stands for a span in training, by a hash of its text."""
+    all_ = windows(span)
+    return all_[zlib.crc32(text[slice(*span)].encode("utf-8", "replace")) % len(all_)]
+
+
 # -- the network ----------------------------------------------------------------------------------
 
 
 def encode(text: str, span: tuple[int, int]) -> np.ndarray:
-    """Code points (127 for those beyond ASCII, 0 for none) of the context before, the candidate's start, and the context after, each in its place."""
+    """Code points (127 for those beyond ASCII, 0 for none) of the context before, the window of a candidate, and the context after (either may lie in the same run), each in its place."""
     s, e = span
     out = np.zeros(LENGTH, np.uint8)
     for at, part in ((LEFT - min(LEFT, s), text[max(0, s - LEFT) : s]), (LEFT, text[s : min(e, s + MIDDLE)]), (LEFT + MIDDLE, text[e : e + RIGHT])):
@@ -185,8 +199,32 @@ def made_findings(n: int, seed: int) -> list[tuple[str, tuple[int, int], int]]:
     return out
 
 
+def made_runs(n: int, seed: int) -> list[tuple[str, tuple[int, int], int]]:
+    """Labelled windows of long runs made from a seed: dotted names and paths, every other one with a key at its end or inside. A window that holds only a part of a key is left out."""
+    r = random.Random(seed)
+    small, every = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda pool, a, b: "".join(r.choice(pool) for _ in range(r.randint(a, b)))
+    out = []
+    for i in range(n):
+        mark = r.choice("./_-")
+        part = lambda: r.choice([some(small, 2, 11), some(small, 2, 11), some("0123456789", 1, 4), some(small, 2, 6).title()])
+        harmless = lambda a, b: mark.join(part() for _ in range(r.randint(a, b)))
+        head, key, tail = harmless(6, 18) + r.choice("=/.") * (i % 2), "", ""
+        if i % 2:
+            key = r.choice(["", "", "ghp_", "sk_live_", "xoxb-", "key-"]) + some(every, 16, 44)
+            tail = mark + harmless(1, 12) if r.random() < 0.3 else ""
+        lead = " ".join(some(small, 2, 9) for _ in range(r.randint(0, 4))) + r.choice([" ", ' "', " (", ": "])
+        text = lead + head + key + tail + r.choice(["", " ", '"', ".\n", ") " + some(small, 2, 9)])
+        a = len(lead) + len(head)
+        for s, e in windows((len(lead), a + len(key) + len(tail))):
+            both = min(e, a + len(key)) - max(s, a)
+            if both <= 0 or both >= min(len(key), 20):
+                out.append((text, (s, e), int(both > 0)))
+    return r.sample(out, min(n, len(out)))
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 2000, max_findings: int = 4000, made: int = 3000, seed: int = 3) -> Network:
-    """Train on labelled findings: those that rules settle in at most about ``max_docs`` documents chosen by a hash of the key (positive: in a rule's span; negative: in none), at most ``max_findings``, and ``made`` made ones.
+    """Train on labelled findings: those that rules settle in at most about ``max_docs`` documents chosen by a hash of the key (positive: in a rule's span; negative: in none), at most ``max_findings``, and ``made`` made ones, with half as many windows of long made runs. Of a finding longer than a window one window is used.
 
     A run in no rule's span may be a secret that no rule knows. So a first network learns from the positives
     and the made findings, and the negatives that it takes for secrets are left out for the second.
@@ -199,12 +237,12 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
             found = []
             for t in b.column(0).to_pylist():
                 spans = base_spans(t)
-                found += [(encode(t, (v, e)).tobytes(), 1) for _, e, v, _ in spans]
-                found += [(encode(t, c).tobytes(), 0) for c in candidates(t) if not overlaps(c, spans)]
+                found += [(encode(t, one_window(t, (v, e))).tobytes(), 1) for _, e, v, _ in spans]
+                found += [(encode(t, one_window(t, c)).tobytes(), 0) for c in candidates(t) if not overlaps(c, spans)]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
 
     sample = rows.mapInArrow(run, "x binary, y int").distinct().orderBy(F.xxhash64("x"), "x", "y").limit(max_findings).collect()
-    own = made_findings(made, seed)
+    own = [(t, one_window(t, s), g) for t, s, g in made_findings(made, seed)] + made_runs(made // 2, seed)
     x = np.stack([np.frombuffer(bytes(f["x"]), np.uint8) for f in sample] + [encode(t, s) for t, s, _ in own])
     y = np.array([f["y"] for f in sample] + [g for _, _, g in own], np.float32)
     found = np.arange(len(x)) < len(sample)
@@ -218,12 +256,14 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
 
 
 def scan_texts(texts: list[str], net: Network) -> list[list[Span]]:
-    """Spans of each text: those of the rules, and candidates outside them that the network takes for secrets; by start, then kind as listed."""
+    """Spans of each text: those of the rules, and candidates outside them of which the network takes any window for a secret; by start, then kind as listed."""
     base = [base_spans(t) for t in texts]
     open_ = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not overlaps(c, base[i])]
     if open_:
-        p = net.probability(np.stack([encode(texts[i], c) for i, c in open_]))
-        for (i, (s, e)), score in zip(open_, p.tolist(), strict=True):
+        parts = [windows(c) for _, c in open_]
+        p = net.probability(np.stack([encode(texts[i], w) for (i, _), ws in zip(open_, parts, strict=True) for w in ws]))
+        best = np.maximum.reduceat(p, np.cumsum([0, *map(len, parts[:-1])]))
+        for (i, (s, e)), score in zip(open_, best.tolist(), strict=True):
             if score >= net.threshold:
                 base[i].append((s, e, s, "model"))
     return [sorted(b, key=lambda x: (x[0], KINDS.index(x[3]), x[1])) for b in base]

@@ -189,3 +189,14 @@ def test_secret_network_and_rows(spark):
     assert by[102]["redacted"] is None and by[103]["redacted"] == "z" * 300_000 and by[3]["redacted"].startswith("calm words")
     assert secrets.scan_secrets(spark.createDataFrame([], DOCS), net).count() == 0
     assert df.select(F.col("spans")).columns == ["spans"]
+
+
+def test_a_key_at_the_end_of_a_long_run_is_found(spark):
+    key = "ghp_AbC9xK2mQ7vR4tY8wZ1nP5sL3dF6hJ0uE"
+    runs = ["config.production.database.credentials.key=" + key, "srv/data/projects/archive/reports/quarterly/2021/" + key, "/".join(["part", "of", "a", "long", "way", "7"] * 30) + "/" + key + "/and/on/to/the/end/of/it"]
+    calm = "/".join(["part", "of", "a", "long", "way", "7"] * 30)
+    df = spark.createDataFrame([(i, f"see {x} there", "s") for i, x in enumerate([*runs, calm])], DOCS)
+    out = {x["doc_id"]: x["redacted"] for x in secrets.scan_secrets(df, secrets.learn(df)).collect()}
+    assert all(key[4:] not in out[i] and "[SECRET]" in out[i] for i in range(len(runs)))
+    assert out[len(runs)] == f"see {calm} there"
+    assert secrets.windows((5, 40)) == [(5, 40)] and secrets.windows((0, 95)) == [(0, 40), (20, 60), (40, 80), (55, 95)]

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialize, table
 
-#: Context restaurants: the previous word's ending (its last two code points, hashed) and, below it, the
-#: word itself, hashed. So their number is bounded and their totals fit a broadcast at any corpus size.
-ENDINGS, PER_ENDING = 1024, 64
-START = ENDINGS * PER_ENDING  # the restaurant of a text's first word
-SLOTS = START + 1
-LEVELS = (1, ENDINGS + 1, SLOTS)  # restaurants of a level: all words, endings, previous words
+#: Context restaurants: the previous word's ending (its last two code points, hashed: a class of words to back
+#: off to) and, below it, the previous word itself by its whole id. Totals of the former are a broadcast of fixed
+#: size; those of previous words, as many as the corpus has, go by exchange to the buckets that use them.
+ENDINGS, BITS = 1024, np.uint64(53)
+START = np.uint64(ENDINGS << 53)  # the context of a text's first word, past every word's id
+LEVELS = (1, ENDINGS + 1)  # restaurants of the levels that are broadcast: all words, endings
 END = np.uint64(0)  # the id of the end token
 BLOCK = 1_000_000  # tokens held at once
 
@@ -62,15 +62,17 @@ def deltas(ids: np.ndarray) -> np.ndarray:
 
 
 def word_id(word: bytes) -> int:
-    """54 hash bits of the word above 10 of its ending."""
+    """10 hash bits of the word's ending above 53 of the word, so that ids in order have their endings in order."""
     ending = word.decode("utf-8", "replace")[-2:].encode()
-    return (xxhash.xxh64_intdigest(word) & ~(ENDINGS - 1) | xxhash.xxh64_intdigest(ending, 1) & (ENDINGS - 1)) or ENDINGS
+    return ((xxhash.xxh64_intdigest(ending, 1) & (ENDINGS - 1)) << 53 | xxhash.xxh64_intdigest(word) >> 11) or 1
 
 
-def slot_of(ids: np.ndarray) -> np.ndarray:
-    """The restaurant of what follows a word."""
-    ending, word = ids & np.uint64(ENDINGS - 1), (ids >> np.uint64(10)) & np.uint64(PER_ENDING - 1)
-    return (ending * np.uint64(PER_ENDING) + word).astype(np.int64)
+def ending_of(ids: np.ndarray) -> np.ndarray:
+    return (ids >> BITS).astype(np.int64)
+
+
+def bucket_of(ids: np.ndarray, buckets: int, shift: int = 20) -> np.ndarray:
+    return ((ids & ((np.uint64(1) << BITS) - np.uint64(1))) >> np.uint64(shift)) % np.uint64(buckets)
 
 
 def tokenize(text: bytes | None) -> list[bytes]:
@@ -85,7 +87,7 @@ def _rows(block: str, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _count_blocks(buckets: int):
-    """Input: key, binary text, train. Output, per block of whole documents: its own row (bucket -1: for each token the place of its cell, tokens by document, keys) and one request per bucket of words: (word, restaurant) cells in order with their training counts."""
+    """Input: key, binary text, train. Output, per block of whole documents: its own row (bucket -1: for each token the place of its cell, tokens by document, keys) and one request per bucket of words: (word, previous word) cells in order with their training counts."""
 
     def close(block: str, keys: pa.Array, docs: list[list[bytes]], train: list[bool]) -> pa.RecordBatch:
         vocab: dict[bytes, int] = {}
@@ -97,23 +99,25 @@ def _count_blocks(buckets: int):
         inside = np.ones(len(tokens), bool)
         inside[ends] = False
         tokens[inside] = local + 1
-        before = np.full(len(tokens), START, np.int64)
-        before[1:] = slot_of(ids)[tokens[:-1]]
-        before[np.r_[0, ends[:-1] + 1]] = START
+        contexts = np.unique(np.r_[ids, START])
+        before = np.full(len(tokens), len(contexts) - 1, np.int64)
+        before[1:] = np.searchsorted(contexts, ids)[tokens[:-1]]
+        before[np.r_[0, ends[:-1] + 1]] = len(contexts) - 1
         # Equal ids (hash collisions included) are one word; words go by bucket, then id.
-        bucket = (ids >> np.uint64(40)) % np.uint64(buckets)
+        bucket = bucket_of(ids, buckets)
         distinct = np.unique(np.stack([bucket, ids], axis=1), axis=0)
         merged = {i: n for n, i in enumerate(distinct[:, 1].tolist())}
         place = np.array([merged[i] for i in ids.tolist()], np.int64)
-        cells, where = np.unique(place[tokens] * SLOTS + before, return_inverse=True)
+        cells, where = np.unique(place[tokens] * len(contexts) + before, return_inverse=True)
         counts = np.bincount(where, weights=np.repeat(np.array(train, np.float64), lengths), minlength=len(cells)).astype(np.uint32)
-        words = cells // SLOTS
+        words, slots = cells // len(contexts), cells % len(contexts)
         per_word = np.bincount(words, minlength=len(distinct)).astype(np.uint32)
         rows = [(-1, pack(where.astype(np.uint32), lengths.astype(np.uint32), per_word, np.frombuffer(_ipc(keys), np.uint8)))]
         for b in np.unique(distinct[:, 0]).tolist():
             w = slice(*np.searchsorted(distinct[:, 0], [b, b + 1]).tolist())
             c = slice(*np.searchsorted(words, [w.start, w.stop]).tolist())
-            rows.append((int(b), pack(deltas(distinct[w, 1]), per_word[w], (cells[c] % SLOTS).astype(np.uint32), counts[c])))
+            own, slot = np.unique(slots[c], return_inverse=True)
+            rows.append((int(b), pack(deltas(distinct[w, 1]), per_word[w], deltas(contexts[own]), slot.astype(np.uint32), counts[c])))
         return _rows(block, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,27 +152,32 @@ def _ipc(keys: pa.Array) -> bytes:
 
 @dataclass
 class Words:
-    """The cells of a bucket of words: ids in order; each cell's word, restaurant, and training customers."""
+    """The cells of a bucket of words: ids in order; each cell's word, place of its previous word among the bucket's ``contexts`` (ids in order), and training customers."""
 
     ids: np.ndarray
     word: np.ndarray
     slot: np.ndarray
     count: np.ndarray
+    contexts: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        if self.contexts is None:
+            self.contexts = np.arange(self.slot.max(initial=-1) + 1, dtype=np.uint64)
 
     @staticmethod
     def merge(requests: list[list[np.ndarray]]) -> tuple[Words, list[np.ndarray]]:
         """One set of cells from those of many blocks, and the place of each block's cells in it."""
-        per = [(np.cumsum(r[0]), r[1], r[2].astype(np.int64), r[3]) for r in requests]
-        ids = np.unique(np.concatenate([p[0] for p in per]))
-        keys = [np.repeat(np.searchsorted(ids, p[0]), p[1]) * SLOTS + p[2] for p in per]
+        per = [(np.cumsum(r[0]), r[1], np.cumsum(r[2]), r[3], r[4]) for r in requests]
+        ids, contexts = (np.unique(np.concatenate([p[n] for p in per])) for n in (0, 2))
+        keys = [np.repeat(np.searchsorted(ids, p[0]), p[1]) * len(contexts) + np.searchsorted(contexts, p[2])[p[3]] for p in per]
         cells, where = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(where, weights=np.concatenate([p[3] for p in per]), minlength=len(cells)).astype(np.int64)
-        return Words(ids, cells // SLOTS, cells % SLOTS, count), np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+        count = np.bincount(where, weights=np.concatenate([p[4] for p in per]), minlength=len(cells)).astype(np.int64)
+        return Words(ids, cells // len(contexts), cells % len(contexts), count, contexts), np.split(where, np.cumsum([len(k) for k in keys])[:-1])
 
 
 @dataclass
 class Totals:
-    """Customers and tables of each restaurant by level (all words, endings, previous words), and the discounts, N and V."""
+    """Customers and tables of each restaurant of the levels that are broadcast (all words, endings), and the discounts of all levels, N and V."""
 
     customers: list[np.ndarray]
     tables: list[np.ndarray]
@@ -202,11 +211,14 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
 
 
 class Chain:
-    """Blocked Gibbs sampling in a bucket: each sweep seats all customers of a dish in a restaurant anew, given its parents' probabilities and the restaurants' totals."""
+    """Blocked Gibbs sampling in a bucket: each sweep seats all customers of a dish in a restaurant anew, given its parents' probabilities and the restaurants' totals.
 
-    def __init__(self, words: Words, totals: Totals, rng: np.random.Generator) -> None:
+    ``previous``: customers and tables of the bucket's contexts over all buckets; by default this bucket is all.
+    """
+
+    def __init__(self, words: Words, totals: Totals, rng: np.random.Generator, previous: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.w, self.totals, self.rng = words, totals, rng
-        ending = words.slot // PER_ENDING
+        ending = ending_of(words.contexts)[words.slot]
         pair = words.word * LEVELS[1] + ending
         starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
         self.pair_of = np.cumsum(np.r_[False, pair[1:] != pair[:-1]]) if len(pair) else pair
@@ -214,6 +226,7 @@ class Chain:
         self.t3 = np.minimum(words.count, 1).astype(np.float64)
         self.t2 = np.minimum(self.sum2(), 1)
         self.t1 = np.minimum(self.sum1(), 1)
+        self.previous = previous or self.by_context()
 
     def sum2(self) -> np.ndarray:
         return np.bincount(self.pair_of, weights=self.t3, minlength=len(self.pair_word))
@@ -224,7 +237,8 @@ class Chain:
     def level(self, n: int, at: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, float]:
         """Of restaurants ``at`` of a level: weight of the parent, customers with concentration, discount."""
         d, theta = self.totals.discounts[n], CONCENTRATION[n]
-        return theta + d * self.totals.tables[n][at], theta + self.totals.customers[n][at], d
+        customers, tables = self.previous if n == 2 else (self.totals.customers[n], self.totals.tables[n])
+        return theta + d * tables[at], theta + customers[at], d
 
     def probabilities(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predictive probabilities of words, (word, ending) pairs and cells."""
@@ -245,29 +259,57 @@ class Chain:
         self.t1 = seat(self.sum1().astype(np.int64), np.full(len(self.w.ids), float(up) / (self.totals.vocabulary + 1)), d, self.rng)
 
     def counts(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(level, customers, tables) of this bucket by restaurant."""
+        """(level, customers, tables) of this bucket by restaurant of the levels that are broadcast."""
         by = lambda at, x, n: np.bincount(at, weights=x, minlength=n)
         return [
             (0, np.array([self.sum1().sum()]), np.array([self.t1.sum()])),
             (1, by(self.pair_ending, self.sum2(), LEVELS[1]), by(self.pair_ending, self.t2, LEVELS[1])),
-            (2, by(self.w.slot, self.w.count, SLOTS), by(self.w.slot, self.t3, SLOTS)),
         ]
 
+    def by_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of this bucket by context."""
+        by = lambda x: np.bincount(self.w.slot, weights=x, minlength=len(self.w.contexts))
+        return by(self.w.count), by(self.t3)
+
 
-STATS = "level int, at int, customers double, tables double"
+#: Sums of the levels that are broadcast, and (level -1, at: group of contexts) what a bucket says of its contexts.
+STATS = "level int, at int, customers double, tables double, bucket int, payload binary"
 
 
-def _stats(levels: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _stats(levels: list[tuple[int, np.ndarray, np.ndarray]], bucket: int, words: Words, said: tuple[np.ndarray, np.ndarray], groups: int) -> pa.RecordBatch:
     out = [(np.full(len(c), n), np.arange(len(c)), c, t) for n, c, t in levels]
     level, at, c, t = (np.concatenate(x) for x in zip(*out, strict=True))
     used = (c > 0) | (t > 0)
-    return pa.RecordBatch.from_arrays([pa.array(level[used], pa.int32()), pa.array(at[used], pa.int32()), pa.array(c[used], pa.float64()), pa.array(t[used], pa.float64())], names=["level", "at", "customers", "tables"])
+    group = bucket_of(words.contexts, groups, 0)
+    to = np.unique(group)
+    told = [pack(deltas(words.contexts[own]), *(x[own].astype(np.int64) for x in said)) for own in (group == g for g in to)]
+    n, m = int(used.sum()), len(to)
+    zeros = np.zeros(m)
+    columns = [(np.r_[level[used], np.full(m, -1)], pa.int32()), (np.r_[at[used], to.astype(np.int64)], pa.int32()), (np.r_[c[used], zeros], pa.float64()), (np.r_[t[used], zeros], pa.float64()), (np.full(n + m, bucket), pa.int32()), ([None] * n + told, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=["level", "at", "customers", "tables", "bucket", "payload"])
+
+
+ANSWERS = "bucket int, part int, payload binary"
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """Customers and tables of a group of contexts over all buckets, to each bucket those of its contexts in their order."""
+    told = [unpack(p) for p in group.column("payload").to_pylist()]
+    ids, where = np.unique(np.concatenate([np.cumsum(x[0]) for x in told]), return_inverse=True)
+    sums = [np.bincount(where, weights=np.concatenate([x[n] for x in told]), minlength=len(ids)).astype(np.int64) for n in (1, 2)]
+    places = np.split(where, np.cumsum([len(x[0]) for x in told])[:-1])
+    part = pa.array(group.column("at").to_pylist(), pa.int32())
+    return pa.table([pa.array(group.column("bucket").to_pylist(), pa.int32()), part, pa.array([pack(*(x[p] for x in sums)) for p in places], pa.binary())], names=["bucket", "part", "payload"])
+
+
+def _answers(stats: DataFrame) -> DataFrame:
+    return stats.where("level < 0").select("at", "bucket", "payload").groupBy("at").applyInArrow(_answer, ANSWERS)
 
 
 def _collect(stats: DataFrame) -> list[dict[int, tuple[float, float]]]:
-    """Sums by level and restaurant: SLOTS + ENDINGS + 9 rows at most, whatever the corpus."""
+    """Sums by level and restaurant: ENDINGS + 9 rows at most, whatever the corpus."""
     out: list[dict[int, tuple[float, float]]] = [{} for _ in range(10)]
-    for r in stats.groupBy("level", "at").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect():
+    for r in stats.where("level >= 0").groupBy("level", "at").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect():
         out[r["level"]][r["at"]] = (r["c"], r["t"])
     return out
 
@@ -289,62 +331,100 @@ def _merge_bucket(group: pa.Table) -> pa.Table:
     blocks = group.column("block").to_pylist()
     words, places = Words.merge([unpack(p) for p in group.column("payload").to_pylist()])
     per_word = np.bincount(words.word, minlength=len(words.ids)).astype(np.uint32)
-    payload = pack(deltas(words.ids), per_word, words.slot.astype(np.uint32), words.count.astype(np.uint32))
+    payload = pack(deltas(words.ids), per_word, deltas(words.contexts), words.slot.astype(np.uint32), words.count.astype(np.uint32))
     cells = [{"block": b, "cells": pack(np.diff(p, prepend=0).astype(np.uint32))} for b, p in zip(blocks, places, strict=True)]
     kind = pa.list_(pa.struct([("block", pa.string()), ("cells", pa.binary())]))
     return pa.table([pa.array([group.column("bucket")[0].as_py()], pa.int32()), pa.array([payload], pa.binary()), pa.array([cells], kind)], names=["bucket", "words", "requests"])
 
 
 def _words(payload: bytes) -> Words:
-    ids, per_word, slot, count = unpack(payload)
-    return Words(np.cumsum(ids), np.repeat(np.arange(len(ids)), per_word), slot.astype(np.int64), count.astype(np.int64))
+    ids, per_word, contexts, slot, count = unpack(payload)
+    return Words(np.cumsum(ids), np.repeat(np.arange(len(ids)), per_word), slot.astype(np.int64), count.astype(np.int64), np.cumsum(contexts))
 
 
-def _first_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_stats(groups: int):
     """Totals with one table per dish, and (level + 4: dishes with one and two customers; 3: tokens and distinct words)."""
     none = Totals([np.zeros(n) for n in LEVELS], [np.zeros(n) for n in LEVELS], [0.5] * 3, 0, 0)
-    for b in batches:
-        for payload in b.column(1).to_pylist():
-            chain = Chain(_words(payload), none, np.random.default_rng(0))
-            seen = (chain.sum1(), chain.sum2(), chain.w.count)
-            known = np.bincount(chain.w.word, weights=chain.w.count, minlength=len(chain.w.ids))
-            extra = [(3, np.array([known.sum()]), np.array([(known > 0).sum()], float))]
-            yield _stats([*chain.counts(), *extra, *[(4 + n, np.array([(c == 1).sum()], float), np.array([(c == 2).sum()], float)) for n, c in enumerate(seen)]])
-
 
-def _sample(totals: Totals, burn: int, samples: int, seed: int, respond: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                bucket = b.column(0)[i].as_py()
-                chain = Chain(_words(b.column(1)[i].as_py()), totals, np.random.default_rng([seed, bucket]))
-                p, stats = np.zeros(len(chain.w.slot)), None
-                for step in range(burn + samples):
-                    chain.sweep()
-                    if step >= burn:
-                        if respond:
-                            p += chain.probabilities()[2] / samples
-                        else:
-                            now = chain.counts()
-                            stats = now if stats is None else [(n, c + c2, t + t2) for (n, c, t), (_, c2, t2) in zip(stats, now, strict=True)]
-                if not respond:
-                    yield _stats([(n, c / samples, t / samples) for n, c, t in stats])
-                    continue
-                logs = np.log10(p)
-                known = np.bincount(chain.w.word, weights=chain.w.count, minlength=len(chain.w.ids)).astype(np.uint32)
-                for r in b.column(2)[i].as_py():
-                    cells = np.cumsum(unpack(r["cells"])[0].astype(np.int64))
-                    words = chain.w.word[cells]
-                    words = words[np.r_[True, words[1:] != words[:-1]]]
-                    yield _rows(r["block"], [(bucket, pack(logs[cells].astype(np.float32), known[words]))])
+            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                chain = Chain(_words(payload), none, np.random.default_rng(0))
+                seen = (chain.sum1(), chain.sum2(), chain.w.count)
+                known = np.bincount(chain.w.word, weights=chain.w.count, minlength=len(chain.w.ids))
+                extra = [(3, np.array([known.sum()]), np.array([(known > 0).sum()], float))]
+                ones = [(4 + n, np.array([(c == 1).sum()], float), np.array([(c == 2).sum()], float)) for n, c in enumerate(seen)]
+                yield _stats([*chain.counts(), *extra, *ones], bucket, chain.w, chain.by_context(), groups)
+
+    return run
+
+
+def _seated(model: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows of each bucket: its own (part -1) and the answers about its contexts. Both are dealt by bucket once."""
+    own = model.select("bucket", F.lit(-1).alias("part"), F.col("words").alias("payload"), *model.columns[2:])
+    return own.unionByName(answers, allowMissingColumns=True)
+
+
+def _chain(group: pa.Table, totals: Totals, seed: int, groups: int, samples: int) -> tuple[int, int, Chain]:
+    """A bucket's number, the place of its own row, and its chain; the answers' tables are sums over ``samples``."""
+    parts, payloads = group.column("part").to_pylist(), group.column("payload")
+    own, bucket = parts.index(-1), group.column("bucket")[0].as_py()
+    words = _words(payloads[own].as_py())
+    to = bucket_of(words.contexts, groups, 0)
+    customers, tables = np.zeros(len(to)), np.zeros(len(to))
+    for i, part in enumerate(parts):
+        if i != own:
+            at = to == part
+            customers[at], tables[at] = unpack(payloads[i].as_py())
+    return bucket, own, Chain(words, totals, np.random.default_rng([seed, bucket]), (customers, tables / samples))
+
+
+def _sample(totals: Totals, burn: int, samples: int, seed: int, groups: int):
+    """Totals averaged over the kept sweeps; tables of contexts are summed."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, _, chain = _chain(group, totals, seed, groups, 1)
+        stats, tables = None, np.zeros(len(chain.w.contexts))
+        for step in range(burn + samples):
+            chain.sweep()
+            if step >= burn:
+                now = chain.counts()
+                stats = now if stats is None else [(n, c + c2, t + t2) for (n, c, t), (_, c2, t2) in zip(stats, now, strict=True)]
+                tables += chain.by_context()[1]
+        said = (chain.by_context()[0], tables)
+        return pa.Table.from_batches([_stats([(n, c / samples, t / samples) for n, c, t in stats], bucket, chain.w, said, groups)])
+
+    return run
+
+
+def _respond(totals: Totals, burn: int, samples: int, seed: int, groups: int):
+    """What each block asked for, by probabilities averaged over the kept sweeps."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, own, chain = _chain(group, totals, seed, groups, samples)
+        p = np.zeros(len(chain.w.slot))
+        for step in range(burn + samples):
+            chain.sweep()
+            if step >= burn:
+                p += chain.probabilities()[2] / samples
+        logs = np.log10(p)
+        known = np.bincount(chain.w.word, weights=chain.w.count, minlength=len(chain.w.ids)).astype(np.uint32)
+        out = []
+        for r in group.column("requests")[own].as_py():
+            cells = np.cumsum(unpack(r["cells"])[0].astype(np.int64))
+            words = chain.w.word[cells]
+            words = words[np.r_[True, words[1:] != words[:-1]]]
+            out.append(_rows(r["block"], [(bucket, pack(logs[cells].astype(np.float32), known[words]))]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def fit_and_respond(blocks: DataFrame, burn: int = 2, samples: int = 3, seed: int = 11) -> tuple[DataFrame, Totals]:
-    """Responses (block, bucket, payload: log10 probabilities of the block's cells, training counts of its words) and the model's totals."""
+def fit_and_respond(blocks: DataFrame, groups: int, burn: int = 2, samples: int = 3, seed: int = 11) -> tuple[DataFrame, Totals]:
+    """Responses (block, bucket, payload: log10 probabilities of the block's cells, training counts of its words) and the model's totals. Contexts are dealt into ``groups``, where their totals over all buckets are found."""
     model = materialize(blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge_bucket, MODEL))
-    first = _collect(model.mapInArrow(_first_stats, STATS))
+    said = model.select("bucket", "words").mapInArrow(_first_stats(groups), STATS)
+    first = _collect(said)
     discounts = []
     for n in range(3):
         once, twice = first[4 + n].get(0, (0.0, 0.0))
@@ -352,9 +432,12 @@ def fit_and_respond(blocks: DataFrame, burn: int = 2, samples: int = 3, seed: in
     tokens, vocabulary = first[3].get(0, (0, 0))
     totals = Totals(_arrays(first, 0), _arrays(first, 1), discounts, int(tokens), int(vocabulary))
     # One round brings the restaurants' totals from one table per dish to those that sampling gives.
-    sums = _collect(model.mapInArrow(_sample(totals, burn, samples, seed, False), STATS))
+    rows = _seated(model.select("bucket", "words"), _answers(said))
+    said = materialize(rows.groupBy("bucket").applyInArrow(_sample(totals, burn, samples, seed, groups), STATS))
+    sums = _collect(said)
     totals = Totals(_arrays(sums, 0), _arrays(sums, 1), discounts, int(tokens), int(vocabulary))
-    return model.mapInArrow(_sample(totals, burn, samples, seed + 1, True), ROWS), totals
+    rows = _seated(model, _answers(said))
+    return rows.groupBy("bucket").applyInArrow(_respond(totals, burn, samples, seed + 1, groups), ROWS), totals
 
 
 def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -364,7 +447,8 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
     end per text; null text has the end alone. Restaurants: previous word under its ending under all words
     under the uniform distribution over the vocabulary and one unknown word. Blocks of whole documents are
     counted first, so that a word, however common, sends each of its contexts once per block; counts meet by
-    word, where all sampling happens; only totals of a fixed number of restaurants are broadcast. ``score`` is
+    word, where all sampling happens. Each previous word is a restaurant of its own: its totals are summed by
+    context and sent back to the buckets of words that follow it; only those of endings are broadcast. ``score`` is
     the log10 of the averaged predictive probabilities, summed. Repeated rows are scored (and learnt) each;
     an empty table gives no rows; other columns are ignored.
     """
@@ -372,7 +456,7 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key), F.col(text).cast("binary").alias("__text"), F.coalesce(F.col(train), F.lit(False)).alias("__train"))
     blocks = materialize(rows.mapInArrow(_count_blocks(buckets), ROWS))
-    responses, totals = fit_and_respond(blocks)
+    responses, totals = fit_and_respond(blocks, max(1, buckets // 4))
     schema = docs.select(key).schema
     for f in spark.createDataFrame([], "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double").schema:
         schema = schema.add(f)

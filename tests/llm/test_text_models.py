@@ -107,6 +107,14 @@ def test_pitman_yor_sums_to_one():
     assert (chain.t3 <= words.count).all() and (chain.t3 >= 1).all() and (chain.probabilities()[2] > 0).all()
 
 
+def test_each_previous_word_has_a_restaurant_of_its_own(spark):
+    """Words of one ending, more than any 64 slots tell apart, each with its own successor: that one is always likely, also where it and its likes meet in different buckets."""
+    rows = [(i * 10 + k, f"w{i}xx s{i}", "s", k < 5) for i in range(300) for k in range(6)]
+    got = pitman_yor.score_texts(spark.createDataFrame(rows, DOCS + ", learn boolean"), "learn", buckets=9).collect()
+    held = [x["score"] for x in got if x["doc_id"] % 10 == 5]
+    assert len(held) == 300 and min(held) > math.log10(1 / 300) + 3 * math.log10(0.75)
+
+
 def test_packed_arrays_come_back():
     arrays = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint32), np.array([1.5, -2], np.float32), np.frombuffer(b";:;", np.uint8)]
     for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):

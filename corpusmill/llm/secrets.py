@@ -28,9 +28,9 @@ ASSIGN = re.compile("(" + _either_case("password|passwd|secret|token|api_?key")
 #: Whole runs of one class: a length in the pattern is the same as one tested afterwards.
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
-#: What the network looks at besides: runs that hold a digit.
+#: What the network looks at besides.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
-DIGIT = re.compile("[0-9]")
+DIGIT, ALNUM = re.compile("[0-9]"), re.compile("[A-Za-z0-9]")
 
 LEFT, MIDDLE, RIGHT = 24, 40, 8
 WIDTH, FILTERS, CHANNELS = 5, 32, 12
@@ -47,13 +47,31 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(m[0])]
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def overlaps(span: tuple[int, int], spans: list[Span]) -> bool:
     return any(s < span[1] and span[0] < e for s, e, _, _ in spans)
 
 
+def open_parts(text: str, run: tuple[int, int], spans: list[Span]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(part, what is judged for it) for each part of a run that no rule's span covers: a part of 12 characters or more by itself, and a shorter one that goes on from a span without a separator with all of that token."""
+    out, at = [], run[0]
+    for s, e in [*sorted((s, e) for s, e, _, _ in spans if s < run[1] and run[0] < e), (run[1], run[1])]:
+        if s - at >= 12:
+            out.append(((at, s), (at, s)))
+        elif s > at:
+            lo, hi = at, s
+            while lo > run[0] and ALNUM.match(text[lo]) and ALNUM.match(text[lo - 1]):
+                lo -= 1
+            while hi < run[1] and ALNUM.match(text[hi - 1]) and ALNUM.match(text[hi]):
+                hi += 1
+            if hi - lo > s - at:
+                out.append(((at, s), (lo, hi)))
+        at = max(at, e)
+    return out
+
+
 def windows(span: tuple[int, int]) -> list[tuple[int, int]]:
     """The span itself, or overlapping windows of ``MIDDLE`` characters over all of a longer one."""
     s, e = span
@@ -223,8 +241,33 @@ def made_runs(n: int, seed: int) -> list[tuple[str, tuple[int, int], int]]:
     return r.sample(out, min(n, len(out)))
 
 
+def made_letters(n: int, seed: int) -> list[tuple[str, tuple[int, int], int]]:
+    """Labelled runs without a digit made from a seed: keys of letters, and long words alone or joined, in any case, and repeated characters."""
+    r = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    word = lambda a, b: "".join(r.choice(["", *"bcdfghklmnprstvwy"]) + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "t", "st", "ng"]) for _ in range(r.randint(a, b)))
+    plain = [
+        lambda: word(5, 9),
+        lambda: word(5, 9).title(),
+        lambda: word(5, 9).upper(),
+        lambda: r.choice("-_./=").join(word(2, 4) for _ in range(r.randint(3, 8))),
+        lambda: r.choice(["get", "is", word(1, 2)]) + "".join(word(1, 4).title() for _ in range(r.randint(3, 5))),
+        lambda: "".join(word(1, 4).title() for _ in range(r.randint(3, 6))),
+        lambda: r.choice("=-_.+/zaxX") * r.randint(12, 80),
+        lambda: f"www.{word(2, 5)}.com/{word(2, 4)}",
+    ]
+    out = []
+    for _ in range(n):
+        good = r.random() < 0.5
+        key = r.choice(["", "", "", "ghp_", "sk_live_", "key-"]) + "".join(r.choice(letters) for _ in range(r.randint(16, 44)))
+        value = key if good else r.choice(plain)()
+        lead = " ".join(word(1, 3) for _ in range(r.randint(0, 4))) + r.choice([" ", ' "', " (", ": ", " key: "])
+        out.append((lead + value + r.choice(["", " ", '"', ". ", ", " + word(1, 3)]), (len(lead), len(lead) + len(value)), int(good)))
+    return out
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 2000, max_findings: int = 4000, made: int = 3000, seed: int = 3) -> Network:
-    """Train on labelled findings: those that rules settle in at most about ``max_docs`` documents chosen by a hash of the key (positive: in a rule's span; negative: in none), at most ``max_findings``, and ``made`` made ones, with half as many windows of long made runs. Of a finding longer than a window one window is used.
+    """Train on labelled findings: those that rules settle in at most about ``max_docs`` documents chosen by a hash of the key (positive: in a rule's span; negative: in none), at most ``max_findings`` and a third each of positives and of negatives with and without a digit, and ``made`` made ones, with half as many windows of long made runs and runs without a digit each. Of a finding longer than a window one window is used.
 
     A run in no rule's span may be a secret that no rule knows. So a first network learns from the positives
     and the made findings, and the negatives that it takes for secrets are left out for the second.
@@ -238,13 +281,14 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
             for t in b.column(0).to_pylist():
                 spans = base_spans(t)
                 found += [(encode(t, one_window(t, (v, e))).tobytes(), 1) for _, e, v, _ in spans]
-                found += [(encode(t, one_window(t, c)).tobytes(), 0) for c in candidates(t) if not overlaps(c, spans)]
+                found += [(encode(t, one_window(t, c)).tobytes(), 0 if DIGIT.search(t, *c) else 2) for c in candidates(t) if not overlaps(c, spans)]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
 
-    sample = rows.mapInArrow(run, "x binary, y int").distinct().orderBy(F.xxhash64("x"), "x", "y").limit(max_findings).collect()
-    own = [(t, one_window(t, s), g) for t, s, g in made_findings(made, seed)] + made_runs(made // 2, seed)
+    found = rows.mapInArrow(run, "x binary, y int").distinct()
+    sample = [f for kind in (0, 1, 2) for f in found.where(F.col("y") == kind).orderBy(F.xxhash64("x"), "x").limit(max_findings // 3).collect()]
+    own = [(t, one_window(t, s), g) for t, s, g in made_findings(made, seed)] + made_runs(made // 2, seed) + [(t, one_window(t, s), g) for t, s, g in made_letters(made // 2, seed)]
     x = np.stack([np.frombuffer(bytes(f["x"]), np.uint8) for f in sample] + [encode(t, s) for t, s, _ in own])
-    y = np.array([f["y"] for f in sample] + [g for _, _, g in own], np.float32)
+    y = np.array([f["y"] % 2 for f in sample] + [g for _, _, g in own], np.float32)
     found = np.arange(len(x)) < len(sample)
     sure = ~found | (y == 1)
     first = train(x[sure], y[sure], seed)
@@ -256,14 +300,14 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
 
 
 def scan_texts(texts: list[str], net: Network) -> list[list[Span]]:
-    """Spans of each text: those of the rules, and candidates outside them of which the network takes any window for a secret; by start, then kind as listed."""
+    """Spans of each text: those of the rules, and what they leave open of candidates where the network takes any window for a secret; by start, then kind as listed."""
     base = [base_spans(t) for t in texts]
-    open_ = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not overlaps(c, base[i])]
+    open_ = [(i, c) for i, t in enumerate(texts) for run in candidates(t) for c in open_parts(t, run, base[i])]
     if open_:
-        parts = [windows(c) for _, c in open_]
+        parts = [windows(judged) for _, (_, judged) in open_]
         p = net.probability(np.stack([encode(texts[i], w) for (i, _), ws in zip(open_, parts, strict=True) for w in ws]))
         best = np.maximum.reduceat(p, np.cumsum([0, *map(len, parts[:-1])]))
-        for (i, (s, e)), score in zip(open_, best.tolist(), strict=True):
+        for (i, ((s, e), _)), score in zip(open_, best.tolist(), strict=True):
             if score >= net.threshold:
                 base[i].append((s, e, s, "model"))
     return [sorted(b, key=lambda x: (x[0], KINDS.index(x[3]), x[1])) for b in base]

@@ -208,3 +208,13 @@ def test_a_key_at_the_end_of_a_long_run_is_found(spark):
     assert all(key[4:] not in out[i] and "[SECRET]" in out[i] for i in range(len(runs)))
     assert out[len(runs)] == f"see {calm} there"
     assert secrets.windows((5, 40)) == [(5, 40)] and secrets.windows((0, 95)) == [(0, 40), (20, 60), (40, 80), (55, 95)]
+
+
+def test_keys_of_letters_and_what_rules_leave_of_a_run_are_found(spark):
+    texts = ["bearer QwZkRtXvBnMpLsDfGhJcYbTrWq end", "see sk_live_0123456789abcdefXyZ9Qw3Lk7Pn2Vb8Rt5 end", "see 0123456789abcdefXyZ9Qw3 end"]
+    calm = ["the internationalization of telecommunications goes on", "=" * 70, "well-known-and-often-used words", "getElementByIdentifier of it", "/static/0123456789abcdef.html there"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts + calm)], DOCS)
+    out = {x["doc_id"]: (x["redacted"], [s["kind"] for s in x["spans"]]) for x in secrets.scan_secrets(df, secrets.learn(df)).collect()}
+    assert "QwZk" not in out[0][0] and "XyZ9" not in out[1][0] and "XyZ9" not in out[2][0]
+    assert out[0][1] == ["model"] and out[1][1] == ["hex", "model"] and out[2][1] == ["hex", "model"]
+    assert [out[3 + i][0] for i in range(4)] == calm[:4] and out[7] == ("/static/[SECRET].html there", ["hex"])

@@ -307,18 +307,24 @@ def char_ngram_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tfidf_table(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("weight", F.round("weight", 6))
 
 
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(abstract_id, text, label): every labelled document that isn't blank, with its quality."""
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("label"))
+    rows = docs(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("abstract_id"), "text", "label")
+    return rows.where(T.strip(F.coalesce(F.col("text"), F.lit(""))) != "")
+
+
 @query()
 def svm_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.group_split(D.long_labels(labelled(spark, sf_dir), "id", "text", MODELS), "abstract_id")
-    net = D.Detector(vocabulary=5000, iterations=20).fit(rows.where(~F.col("is_test")))
+    rows = D.group_split(rated(spark, sf_dir), "abstract_id")
+    net = D.Detector().fit(rows.where(~F.col("is_test")))
     scored = net.score(rows.where("is_test"))
     return D.report(scored).crossJoin(F.broadcast(D.auc(scored, "score", "label")))
 
 
 @query()
 def top_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.long_labels(labelled(spark, sf_dir), "id", "text", MODELS)
-    return D.Detector(vocabulary=5000, iterations=20).fit(rows).strongest(spark)
+    return D.Detector().fit(rated(spark, sf_dir)).strongest(spark, sides=("quality 0", "quality 1"))
 
 
 @query("""WITH s AS (SELECT quality AS label, (doc_id * 37) % 101 AS score FROM labels), p AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY score), r AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM p)

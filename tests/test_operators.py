@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zipfile
 
 import pytest
@@ -176,3 +177,22 @@ def test_set_compares(spark):
     assert I.integrity(a, b.dropna(), "k").first().asDict() == {"matches": 1, "missing": 1, "extra": 1}
     assert rows(I.insert_new(a.distinct(), b.dropna(), "k")) == [(1,), (2,), (3,)]
     assert rows(I.update_non_null(a.distinct().withColumn("v", F.lit("o")), spark.createDataFrame([(1, None), (2, "n")], "k int, v string"), "k")) == [(1, "o"), (2, "n")]
+
+
+def test_detector_queries_take_every_labelled_document_and_ngram(spark, tmp_path, monkeypatch):
+    from corpusmill.operators import detect
+    from corpusmill.plans import rewriting
+
+    r = random.Random(4)
+    texts = {i: ("good fine text " if i % 2 else "bad poor words ") + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120)) for i in range(40)}
+    rows = [*texts.items(), (40, " "), (41, None), (42, "not labelled")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(42)] + [(42, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    fitted = []
+    fit = detect.Detector.fit
+    monkeypatch.setattr(detect.Detector, "fit", lambda self, df: fitted.append(self) or fit(self, df))
+    assert rewriting.rated(spark, str(tmp_path)).count() == 40
+    top = rewriting.top_coefs(spark, str(tmp_path)).collect()
+    assert [r["side"] for r in top] == ["quality 0"] * 10 + ["quality 1"] * 10
+    want = {t[i : i + n] for t in texts.values() for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+    assert len(want) > 5000 and set(fitted[0].counter.vocabulary) == want

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from urllib.parse import urlparse
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,28 +25,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _is_local(path: str) -> bool:
+    return urlparse(path).scheme in ("", "file")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse.
+
+    A warehouse on a local file system is only shared where all run on one machine; elsewhere it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if _is_local(found) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {found} is on each machine's own disk")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder that goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    hadoop_path, files = _file_system(spark, path)
+    files.deleteOnExit(hadoop_path)
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (in a subfolder for each value of ``by``) and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete what ``materialize`` wrote for tables (or a subfolder of them) that nothing reads any more."""
+    for t in tables:
+        hadoop_path, files = _file_system(t.sparkSession, f"{_PATHS[t]}/{part}".rstrip("/"))
+        files.delete(hadoop_path, True)
+
+
+def free_shuffles(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.sources.session import broadcast_within, materialize, shared_dir, table
+from corpusmill.sources.session import broadcast_within, discard, free_shuffles, materialize, shared_dir, table
 
-__all__ = ["SPACE", "WORD", "broadcast_within", "count_words", "lower_ascii", "materialize", "shared_dir", "table", "unit_hash", "words"]
+__all__ = ["SPACE", "WORD", "broadcast_within", "count_words", "discard", "free_shuffles", "lower_ascii", "materialize", "shared_dir", "table", "unit_hash", "words"]
 
 #: The white space of every word rule here: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -1,12 +1,10 @@
-"""Operators 5, 6, 9, 10 against brute force, the library, and on odd input."""
+"""Operators 5, 9, 10 against brute force, the library, and on odd input."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, lz, pitman_yor, secrets
+from corpusmill.llm import bpe, lz, secrets
 
 DOCS = "doc_id long, text string, spans string"
 
@@ -52,75 +50,6 @@ def test_lz_goes_on_from_a_shared_start(a, b):
     assert parsed.phrases == lz.parse_phrases(a).phrases and len(set(parsed.phrases)) == len(parsed.phrases)
 
 
-# -- 6 --------------------------------------------------------------------------------------------
-
-
-def test_pitman_yor_base_and_model(spark):
-    r = random.Random(2)
-    vocab = ["w%d" % i for i in range(200)]
-
-    def walk(n):  # a word tends to call for its successor
-        at, out = 0, []
-        for _ in range(n):
-            at = (at * 7 + 3) % 200 if r.random() < 0.6 else min(int(r.paretovariate(0.8)), 199)
-            out.append(vocab[at])
-        return " ".join(out)
-
-    texts = [walk(r.randint(1, 120)) for _ in range(300)] + ["", None, "A Ü b", "unseen tokens only"]
-    rows = [(i, t, "s", i % 7 != 2 and i < 303) for i, t in enumerate(texts)] + [(None, "w1", "s", None)]
-    df = spark.createDataFrame(rows, DOCS + ", learn boolean")
-    got = pitman_yor.score_texts(df, "learn", buckets=5).collect()
-    assert len(got) == len(rows)
-    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]
-    c = Counter(w for _, t, _, learn in rows if learn for w in tokens(t))
-    n, v, base, score, size = sum(c.values()), len(c), 0.0, 0.0, 0
-    by = {x["doc_id"]: x for x in got}
-    for k, t, _, learn in rows:
-        x, w = by[k], tokens(t)
-        assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(w), sum(c[y] > 0 for y in w), n)
-        want = sum(math.log10((c[y] + 1) / (n + v + 1)) for y in w)
-        assert x["base_score"] == pytest.approx(want) and x["score"] < 0
-        if not learn and k is not None and k < 300:
-            base, score, size = base + want, score + x["score"], size + len(w)
-    assert score > base  # held-out texts are likelier than under add-one
-    assert pitman_yor.score_texts(df.limit(0), "learn").count() == 0
-
-
-def test_pitman_yor_sums_to_one():
-    """Over a whole vocabulary in one bucket, with exact totals, a restaurant's probabilities and the unknown word's sum to 1."""
-    r = np.random.default_rng(3)
-    pairs = np.unique(np.stack([r.integers(0, 50, 400), r.integers(0, 40, 400)], axis=1), axis=0)
-    words = pitman_yor.Words(np.arange(50, dtype=np.uint64), pairs[:, 0], pairs[:, 1], r.integers(1, 6, len(pairs)))
-    zero = pitman_yor.Totals([np.zeros(n) for n in pitman_yor.LEVELS], [np.zeros(n) for n in pitman_yor.LEVELS], [0.5, 0.6, 0.7], 0, 50)
-    chain = pitman_yor.Chain(words, zero, np.random.default_rng(1))
-    for n, c, t in chain.counts():
-        zero.customers[n][:], zero.tables[n][:] = c, t
-    p1, p2, p3 = chain.probabilities()
-    up, all_, _ = chain.level(0, 0)
-    unknown = up / 51 / all_
-    assert p1.sum() + unknown == pytest.approx(1)
-    up, all_, _ = chain.level(1, 0)
-    own = chain.pair_ending == 0
-    rest = 1 - p1[chain.pair_word[own]].sum()
-    assert p2[own].sum() + up * rest / all_ == pytest.approx(1)
-    chain.sweep()
-    assert (chain.t3 <= words.count).all() and (chain.t3 >= 1).all() and (chain.probabilities()[2] > 0).all()
-
-
-def test_each_previous_word_has_a_restaurant_of_its_own(spark):
-    """Words of one ending, more than any 64 slots tell apart, each with its own successor: that one is always likely, also where it and its likes meet in different buckets."""
-    rows = [(i * 10 + k, f"w{i}xx s{i}", "s", k < 5) for i in range(300) for k in range(6)]
-    got = pitman_yor.score_texts(spark.createDataFrame(rows, DOCS + ", learn boolean"), "learn", buckets=9).collect()
-    held = [x["score"] for x in got if x["doc_id"] % 10 == 5]
-    assert len(held) == 300 and min(held) > math.log10(1 / 300) + 3 * math.log10(0.75)
-
-
-def test_packed_arrays_come_back():
-    arrays = [np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint32), np.array([1.5, -2], np.float32), np.frombuffer(b";:;", np.uint8)]
-    for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True):
-        assert a.dtype == b.dtype and (a == b).all()
-
-
 # -- 9 --------------------------------------------------------------------------------------------
 
 

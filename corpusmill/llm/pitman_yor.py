@@ -89,19 +89,33 @@ def tokenize(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def cells_of(tokens: np.ndarray, lengths: np.ndarray, shards: np.ndarray, side: int) -> tuple[np.ndarray, ...]:
-    """Distinct (word, previous word) cells of a block by bucket, word, previous word: word, context (one past the last word: START), bucket, and the place of each token's cell."""
+def cell_numbers(tokens: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """For each token the number of its (word, previous word) cell, of ``n`` words; that of a first word is ``n``."""
+    out = tokens * np.int64(n + 1)
+    out[1:] += tokens[:-1]
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    out[starts] = tokens[starts] * np.int64(n + 1) + n
+    return out
+
+
+def distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the place of each among them; as ``np.unique``, in less memory."""
+    order = np.argsort(numbers)
+    ordered = numbers[order]
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    where = np.empty(len(ordered), np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], where
+
+
+def by_bucket(cells: np.ndarray, shards: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, previous word, bucket and place among ``cells`` (numbers in order) of each cell, by bucket."""
     n = len(shards)
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.r_[0, np.cumsum(lengths)[:-1]]] = n
-    cell, where = np.unique(tokens * (n + 1) + before, return_inverse=True)
-    word, context = cell // (n + 1), cell % (n + 1)
+    word, context = cells // (n + 1), cells % (n + 1)
     bucket = np.r_[shards, shard(START, side)][context] * side + shards[word]
     order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return word[order], context[order], bucket[order], place[where]
+    return word[order], context[order], bucket[order], order
 
 
 def run_starts(*keys: np.ndarray) -> np.ndarray:
@@ -123,19 +137,21 @@ def _count_blocks(side: int):
         inside = np.ones(len(local), bool)
         inside[np.cumsum(lengths) - 1] = False
         local[inside] = np.concatenate(docs)
-        tokens, shards = place[local], shard(ids, side)
+        tokens, shards = place.astype(np.int32)[local], shard(ids, side)
         common = np.argsort(-np.bincount(tokens, minlength=len(ids)), kind="stable")
         rank = np.empty(len(ids), np.uint32)
         rank[common] = np.arange(len(ids))
         out: list[Row] = [("own", None, None, block, pack(rank[tokens], u32(common), shards.astype(np.uint16), u32(lengths), np.frombuffer(_ipc(keys), np.uint8)))]
-        word, context, bucket, where = cells_of(tokens, lengths, shards, side)
-        counts = np.bincount(where, weights=np.repeat(np.array(train, np.float64), lengths), minlength=len(word))
+        cells, where = distinct(cell_numbers(tokens, lengths, len(ids)))
+        counts = u32(np.bincount(where[np.repeat(np.array(train), lengths)], minlength=len(cells)))
+        word, context, bucket, order = by_bucket(cells, shards, side)
+        counts = counts[order]
         starts = run_starts(bucket)
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
             own, slot = np.unique(context[s:e], return_inverse=True)
             words = run_starts(word[s:e])
             per_word = np.diff(np.r_[words, e - s])
-            out.append(("request", int(bucket[s]), None, block, pack(deltas(ids[word[s:e][words]]), u32(per_word), deltas(np.r_[ids, START][own]), steps(slot), u32(counts[s:e]))))
+            out.append(("request", int(bucket[s]), None, block, pack(deltas(ids[word[s:e][words]]), u32(per_word), deltas(np.r_[ids, START][own]), steps(slot), counts[s:e])))
         return rows_table(out).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,16 +224,16 @@ class Seatings:
         return out
 
     def _saddle(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """log of t! times the seatings: the c-th coefficient of ((1 - (1 - z)^d) / d)^t about its saddle point z, found by bisection over log(1 - z)."""
-        d, lo, hi = self.discount, np.full(len(c), -60.0), np.zeros(len(c))
-        t = np.minimum(t, c * (1 - 1e-9))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for _ in range(50):
-                mid = (lo + hi) / 2
-                past = t * d * -np.expm1(mid) * np.exp((d - 1) * mid) / -np.expm1(d * mid) > c
-                lo, hi = np.where(past, mid, lo), np.where(past, hi, mid)
-        z, phi = -np.expm1(hi), -np.expm1(d * hi)
-        spread = c * (1 + z * (1 - d) * np.exp(-hi) - c / t)
+        """log of t! times the seatings: the c-th coefficient of ((1 - (1 - z)^d) / d)^t about its saddle point z, found by Newton's steps over x = log(1 - z)."""
+        d = self.discount
+        t = np.minimum(t, c * (1 - 1e-6))
+        x = np.minimum(np.log(t * d / c) / (1 - d), -1e-6)
+        for _ in range(12):
+            y, yd = np.expm1(x), np.expm1(d * x)
+            over = np.log(t * d / c) + np.log(-y) + (d - 1) * x - np.log(-yd)
+            x = np.minimum(x - over / ((1 + y) / y + d - 1 - d * (1 + yd) / yd), x * 0.1)
+        z, phi = -np.expm1(x), -np.expm1(d * x)
+        spread = c * (1 + z * (1 - d) * np.exp(-x) - c / t)
         return t * np.log(phi / d) - c * np.log(z) - 0.5 * np.log(np.maximum(spread, 1e-9))
 
 
@@ -251,7 +267,7 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray | float,
     """Tables of dishes, each drawn given all else: t with the weight of all its seatings times that of t - 1 more tables, the i-th of them ``parent`` (probability of the dish) times concentration plus discounted tables (``others`` and i).
 
     Drawn by the largest weight with Gumbel noise of ``keys``; terms 30 below the best, past the mode, are left.
-    Of many customers only tables about the mode are tried, ten deviations to either side.
+    Of many customers only tables about the mode are tried, ten deviations and 40 more to either side.
     """
     out = np.minimum(customers, 1).astype(np.int64)
     at = np.flatnonzero(customers > 1)
@@ -265,7 +281,7 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray | float,
     def rise(i: np.ndarray, t: np.ndarray) -> np.ndarray:
         return table_.rise(c[i], t) + rate[i] + np.log(base[i] + t)
 
-    lo = np.ones(len(c), np.int64)
+    chosen = np.ones(len(c), np.int64)
     big = np.flatnonzero(c > table_.exact)
     if len(big):
         a, b = np.ones(len(big), np.int64), c[big]
@@ -273,9 +289,22 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray | float,
             mid = (a + b + 1) // 2
             up = rise(big, np.maximum(mid, 2)) > 0
             a, b = np.where(up & (a < b), mid, a), np.where(up | (a >= b), b, mid - 1)
-        lo[big] = np.maximum(1, a - 40 - (10 * np.sqrt(a)).astype(np.int64))
-    best, chosen = gumbel(k, lo), lo.copy()
-    live, t, now = np.arange(len(c)), lo, np.zeros(len(c))
+        wide = 40 + (10 * np.sqrt(a)).astype(np.int64)
+        lo, hi = np.maximum(1, a - wide), np.minimum(c[big], a + wide)
+        for part in np.array_split(np.arange(len(big)), -(-int((hi - lo + 1).sum()) // 500_000)):
+            size = (hi - lo + 1)[part]
+            first = np.cumsum(size) - size
+            i = np.repeat(part, size)
+            t = lo[i] + np.arange(len(i)) - np.repeat(first, size)
+            up = rise(big[i], np.maximum(t, 2))
+            up[first] = 0  # weights from the window's first term on
+            total = np.cumsum(up)
+            noisy = total - np.repeat(total[first], size) + gumbel(k[big[i]], t)
+            best = np.repeat(np.maximum.reduceat(noisy, first), size) if len(first) else noisy
+            chosen[big[i[noisy == best]]] = t[noisy == best]
+    live = np.flatnonzero(c <= table_.exact)
+    t, now, best = np.ones(len(live), np.int64), np.zeros(len(live)), np.zeros(len(c))
+    best[live] = gumbel(k[live], t)
     while True:
         t = t + 1
         go = t <= c[live]
@@ -544,6 +573,7 @@ def fit_and_respond(blocks: DataFrame, side: int, burn: int = 2, samples: int =
     discard(blocks, part="kind=request")
     free_shuffles(merged)
     first = materialize(merged.where("kind = 'told'").groupBy("node").applyInArrow(_first_totals(side), ROW), by="kind")
+    discard(merged, part="kind=told")
     once, twice = _sums(merged)[:2]
     tokens, vocabulary, customers, once_, twice_ = _sums(first)
     share = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
@@ -557,6 +587,7 @@ def fit_and_respond(blocks: DataFrame, side: int, burn: int = 2, samples: int =
         nodes = _of(first, "node") if sweep <= burn else _of(first, "node", "watch")
         told = nodes.unionByName(_of(seated, "told")).groupBy("node").applyInArrow(_totals(model, roots[-1], side, sweep), ROW)
         now = materialize(told, by="kind")
+        discard(seated, part="kind=told")
         customers, tables = _sums(now)[:2]
         roots.append(Root(int(customers), int(tables)))
         if 1 < sweep <= burn + 1:  # what came before is needed no more
@@ -568,6 +599,9 @@ def fit_and_respond(blocks: DataFrame, side: int, burn: int = 2, samples: int =
             given = live_rows if sweep == burn + 1 else given.unionByName(live_rows)
         del rows, told, seated, now, nodes
         free_shuffles(merged)
+    for rows, kinds in ((merged, ("live",)), (first, ("node", "watch", "answer"))):
+        for kind in kinds:
+            discard(rows, part=f"kind={kind}")
     rows = _of(merged, "model", "asked").unionByName(_of(first, "all")).unionByName(given)
     return rows.groupBy("bucket").applyInArrow(_respond(model, roots, kept, side), ROW), model
 
@@ -603,17 +637,27 @@ def _finish(model: Model, side: int, names: list[str]) -> Callable[[pa.Table], p
     def run(group: pa.Table) -> pa.Table:
         buckets, payloads = group.column("bucket").to_pylist(), group.column("payload").to_pylist()
         rank, common, shards, lengths, raw = unpack(payloads[buckets.index(None)])
-        tokens, lengths = common.astype(np.int64)[rank], lengths.astype(np.int64)
-        word, _, bucket, where = cells_of(tokens, lengths, shards.astype(np.int64), side)
+        tokens, lengths = common.astype(np.int32)[rank], lengths.astype(np.int64)
+        cells, where = distinct(cell_numbers(tokens, lengths, len(shards)))
+        word, _, bucket, order = by_bucket(cells, shards.astype(np.int64), side)
         parts = [unpack(p) for b, p in sorted((b, p) for b, p in zip(buckets, payloads, strict=True) if b is not None)]
-        logs, known = np.concatenate([p[0] for p in parts]).astype(np.float64), np.zeros(len(shards))
+        logs, known = np.empty(len(cells)), np.zeros(len(shards))
+        logs[order] = np.concatenate([p[0] for p in parts])
         known[word[run_starts(bucket, word)]] = np.concatenate([p[1] for p in parts])
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        count = known[tokens]
-        base = np.add.reduceat(np.log10((count + 1) / (model.tokens + model.vocabulary + 1)), starts)
-        score = np.add.reduceat(logs[where], starts)
+        base = np.log10((known + 1) / (model.tokens + model.vocabulary + 1))
+        sums = [np.zeros(len(lengths)) for _ in range(3)]
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < len(lengths):  # documents of about half a million tokens at once
+            first = ends[at] - lengths[at]
+            to = max(at + 1, int(np.searchsorted(ends, first + 500_000, side="right")))
+            some = slice(int(first), int(ends[to - 1]))
+            starts = (ends - lengths)[at:to] - first
+            for out, x in zip(sums, (known[tokens[some]] > 0, base[tokens[some]], logs[where[some]]), strict=True):
+                out[at:to] = np.add.reduceat(x.astype(np.float64), starts)
+            at = to
         keys = pa.ipc.open_stream(raw.tobytes()).read_all().column(0).combine_chunks()
-        columns = [lengths, np.add.reduceat((count > 0).astype(np.int64), starts), np.full(len(lengths), model.tokens, np.int64), base, score, 10 ** (-score / lengths)]
+        columns = [lengths, sums[0].astype(np.int64), np.full(len(lengths), model.tokens, np.int64), *sums[1:], 10 ** (-sums[2] / lengths)]
         return pa.table([keys, *map(pa.array, columns)], names=names)
 
     return run

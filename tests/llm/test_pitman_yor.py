@@ -132,7 +132,8 @@ def test_every_context_sums_to_one(spark):
     p = {}
     for x in blocks.where("kind = 'own'").collect():
         rank, common, shards, lengths, _ = pitman_yor.unpack(bytes(x["payload"]))
-        word, context, bucket, _ = pitman_yor.cells_of(common.astype(np.int64)[rank], lengths.astype(np.int64), shards.astype(np.int64), 2)
+        numbers = np.unique(pitman_yor.cell_numbers(common.astype(np.int32)[rank], lengths.astype(np.int64), len(shards)))
+        word, context, bucket, _ = pitman_yor.by_bucket(numbers, shards.astype(np.int64), 2)
         assert len(shards) == len(ids)  # every word is in the block; their numbers go by id
         names = [ids[i] for i in sorted(ids)] + ["^"]
         all_logs = np.concatenate([logs[x["block"]][b] for b in sorted(logs[x["block"]])])

@@ -19,7 +19,7 @@ from corpusmill.llm.common import discard, free_shuffles, materialize, table
 
 #: Word ids are 56 hash bits. END is the end token as a word; START, past every id, the context of a first word.
 END, START = np.uint64(0), np.uint64(1 << 56)
-BLOCK = 4_000_000  # tokens held at once
+BLOCK = 2_000_000  # tokens held at once
 THETA = 1.0  # concentration of every restaurant
 
 #: Tables travel and are stored as rows of these: a grid bucket or a node, and packed arrays.
@@ -127,10 +127,10 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _count_blocks(side: int):
-    """Input: key, binary text, train. Output, per block of whole documents: its "own" row (tokens, lengths, keys), and one "request" per bucket: its cells in order with their training counts."""
+def _count_blocks(side: int, least: int = BLOCK):
+    """Input: key, binary text, train. Output, per block of whole documents: its "own" row (tokens, lengths, keys; bucket: a negative number of its own), and one "request" per bucket: its cells in order with their training counts. A block is named by its content, so that parts of different tries never meet."""
 
-    def close(block: str, keys: pa.Array, docs: list[np.ndarray], train: list[bool], vocab: dict[bytes, int]) -> pa.RecordBatch:
+    def close(seq: int, keys: pa.Array, docs: list[np.ndarray], train: list[bool], vocab: dict[bytes, int]) -> pa.RecordBatch:
         ids, place = np.unique(np.array([END, *map(word_id, vocab)], np.uint64), return_inverse=True)
         lengths = np.array([len(d) + 1 for d in docs], np.int64)
         local = np.zeros(int(lengths.sum()), np.int32)  # 0: the end token
@@ -141,7 +141,9 @@ def _count_blocks(side: int):
         common = np.argsort(-np.bincount(tokens, minlength=len(ids)), kind="stable")
         rank = np.empty(len(ids), np.uint32)
         rank[common] = np.arange(len(ids))
-        out: list[Row] = [("own", None, None, block, pack(rank[tokens], u32(common), shards.astype(np.uint16), u32(lengths), np.frombuffer(_ipc(keys), np.uint8)))]
+        own = pack(rank[tokens], u32(common), shards.astype(np.uint16), u32(lengths), np.frombuffer(_ipc(keys), np.uint8))
+        block = f"{TaskContext.get().partitionId()}-{seq}-{xxhash.xxh64_hexdigest(own)}"
+        out: list[Row] = [("own", -1 - (xxhash.xxh64_intdigest(block) & 0x3FFFFFFF), None, block, own)]
         cells, where = distinct(cell_numbers(tokens, lengths, len(ids)))
         counts = u32(np.bincount(where[np.repeat(np.array(train), lengths)], minlength=len(cells)))
         word, context, bucket, order = by_bucket(cells, shards, side)
@@ -155,7 +157,7 @@ def _count_blocks(side: int):
         return rows_table(out).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        size, seq = 0, 0
         keys, docs, train, vocab = [], [], [], {}
         for b in batches:
             trains = b.column(2).to_pylist()
@@ -165,11 +167,11 @@ def _count_blocks(side: int):
                 keys.append(b.column(0).slice(i, 1))
                 train.append(trains[i])
                 size += len(words) + 1
-                if size >= BLOCK:
-                    yield close(f"{part}-{seq}", pa.concat_arrays(keys), docs, train, vocab)
+                if size >= least:
+                    yield close(seq, pa.concat_arrays(keys), docs, train, vocab)
                     seq, size, keys, docs, train, vocab = seq + 1, 0, [], [], [], {}
         if docs:
-            yield close(f"{part}-{seq}", pa.concat_arrays(keys), docs, train, vocab)
+            yield close(seq, pa.concat_arrays(keys), docs, train, vocab)
 
     return run
 
@@ -402,10 +404,12 @@ class Cells:
 
 
 def _merge_bucket(side: int):
-    """Of a bucket's requests: its "model", where each block's cells are in it ("asked"), its "live" cells, what it tells the nodes of its contexts and words ("told": customers, tables, which are live), and "sums": cells of one and of two customers."""
+    """Of a bucket's requests: its "model", where each block's cells are in it ("asked"), its "live" cells, what it tells the nodes of its contexts and words ("told": customers, tables, which are live), and "sums": cells of one and of two customers. Blocks' own rows pass through."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket, blocks = group.column("bucket")[0].as_py(), group.column("block").to_pylist()
+        if bucket < 0:
+            return group
         cells, places = Cells.merge(group.column("payload").to_pylist())
         out: list[Row] = [("model", bucket, None, None, cells.dump())]
         out += [("asked", bucket, None, b, pack(steps(p))) for b, p in zip(blocks, places, strict=True)]
@@ -568,9 +572,8 @@ def _of(rows: DataFrame, *kinds: str, sample: int | None = None) -> DataFrame:
 
 
 def fit_and_respond(blocks: DataFrame, side: int, burn: int = 2, samples: int = 3) -> tuple[DataFrame, Model]:
-    """Responses to the requests of ``blocks`` (deleted once they are merged), and the model. All is dealt over a grid: buckets by context shard and word shard, ``side`` of each, and a node for each shard, where totals over its buckets meet."""
-    merged = materialize(_of(blocks, "request").groupBy("bucket").applyInArrow(_merge_bucket(side), ROW), by="kind")
-    discard(blocks, part="kind=request")
+    """Blocks' own rows with the responses to their requests, and the model. All is dealt over a grid: buckets by context shard and word shard, ``side`` of each, and a node for each shard, where totals over its buckets meet."""
+    merged = materialize(blocks.groupBy("bucket").applyInArrow(_merge_bucket(side), ROW), by="kind")
     free_shuffles(merged)
     first = materialize(merged.where("kind = 'told'").groupBy("node").applyInArrow(_first_totals(side), ROW), by="kind")
     discard(merged, part="kind=told")
@@ -603,10 +606,11 @@ def fit_and_respond(blocks: DataFrame, side: int, burn: int = 2, samples: int =
         for kind in kinds:
             discard(rows, part=f"kind={kind}")
     rows = _of(merged, "model", "asked").unionByName(_of(first, "all")).unionByName(given)
-    return rows.groupBy("bucket").applyInArrow(_respond(model, roots, kept, side), ROW), model
+    responses = rows.groupBy("bucket").applyInArrow(_respond(model, roots, kept, side), ROW)
+    return merged.where("kind = 'own'").unionByName(responses, allowMissingColumns=True), model
 
 
-def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", side: int | None = None, burn: int = 2, samples: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", side: int | None = None, burn: int = 2, samples: int = 3, block: int = BLOCK) -> DataFrame:
     """(``key``, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row of ``docs``.
 
     ``train``: a boolean column (null: false) of the rows to learn from. Tokens are lower-cased (A-Z) words and one
@@ -618,29 +622,31 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
     taken out); then totals of contexts and words meet in nodes, one per shard, the words are seated in their
     parent there, and all goes back to the grid. Random numbers depend on words and sweep alone, so scores do
     not on how the work is dealt. ``score`` is the log10 of the predictive probabilities, averaged over
-    ``samples`` sweeps after ``burn``, summed. A text must fit a task, as must a block of BLOCK tokens. Repeated
-    rows are scored (and learnt) each; an empty table gives no rows; other columns are ignored.
+    ``samples`` sweeps after ``burn``, summed. A text must fit a task, as must a block of ``block`` tokens. Repeated
+    rows are scored (and learnt) each; an empty table gives no rows; other columns are ignored. Read ``docs``
+    from a table: where a task tried again gets its rows in another order, the blocks' parts don't meet and the
+    query fails.
     """
     spark = docs.sparkSession
     side = side or math.ceil(math.sqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(key), F.col(text).cast("binary").alias("__text"), F.coalesce(F.col(train), F.lit(False)).alias("__train"))
-    blocks = materialize(rows.mapInArrow(_count_blocks(side), ROW), by="kind")
-    responses, model = fit_and_respond(blocks, side, burn, samples)
+    answered, model = fit_and_respond(rows.mapInArrow(_count_blocks(side, block), ROW), side, burn, samples)
     schema = docs.select(key).schema
     for f in spark.createDataFrame([], "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double").schema:
         schema = schema.add(f)
-    finish = _finish(model, side, schema.names)
-    return blocks.where("kind = 'own'").unionByName(responses).groupBy("block").applyInArrow(finish, schema)
+    return answered.groupBy("block").applyInArrow(_finish(model, side, schema.names), schema)
 
 
 def _finish(model: Model, side: int, names: list[str]) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         buckets, payloads = group.column("bucket").to_pylist(), group.column("payload").to_pylist()
-        rank, common, shards, lengths, raw = unpack(payloads[buckets.index(None)])
+        rank, common, shards, lengths, raw = unpack(payloads[group.column("kind").to_pylist().index("own")])
         tokens, lengths = common.astype(np.int32)[rank], lengths.astype(np.int64)
         cells, where = distinct(cell_numbers(tokens, lengths, len(shards)))
         word, _, bucket, order = by_bucket(cells, shards.astype(np.int64), side)
-        parts = [unpack(p) for b, p in sorted((b, p) for b, p in zip(buckets, payloads, strict=True) if b is not None)]
+        if len(run_starts(bucket)) != len(buckets) - 1:
+            raise ValueError("parts of a block are missing: the rows of the input came in another order when a task was tried again")
+        parts = [unpack(p) for b, p in sorted((b, p) for b, p in zip(buckets, payloads, strict=True) if b >= 0)]
         logs, known = np.empty(len(cells)), np.zeros(len(shards))
         logs[order] = np.concatenate([p[0] for p in parts])
         known[word[run_starts(bucket, word)]] = np.concatenate([p[1] for p in parts])

@@ -11,7 +11,6 @@ import numpy as np
 import pytest
 
 from corpusmill.llm import pitman_yor
-from corpusmill.llm.common import materialize
 
 DOCS = "doc_id long, text string, spans string, learn boolean"
 
@@ -123,14 +122,14 @@ def test_every_context_sums_to_one(spark):
     asked = [(100 + i, f"{u} {w}", "s", False) for i, (u, w) in enumerate((u, w) for u in words for w in [*words, "zzz"])]
     df = spark.createDataFrame(known + asked, DOCS).coalesce(1)
     rows = df.selectExpr("doc_id", "cast(text as binary)", "learn")
-    blocks = materialize(rows.mapInArrow(pitman_yor._count_blocks(2), pitman_yor.ROW), by="kind")
-    responses, _ = pitman_yor.fit_and_respond(blocks, 2)
+    answered = pitman_yor.fit_and_respond(rows.mapInArrow(pitman_yor._count_blocks(2), pitman_yor.ROW), 2)[0].collect()
     logs = defaultdict(dict)
-    for x in responses.collect():
-        logs[x["block"]][x["bucket"]] = pitman_yor.unpack(bytes(x["payload"]))[0]
+    for x in answered:
+        if x["kind"] == "response":
+            logs[x["block"]][x["bucket"]] = pitman_yor.unpack(bytes(x["payload"]))[0]
     ids = {int(pitman_yor.word_id(w.encode())): w for w in [*words, "zzz"]} | {0: "$"}
     p = {}
-    for x in blocks.where("kind = 'own'").collect():
+    for x in [x for x in answered if x["kind"] == "own"]:
         rank, common, shards, lengths, _ = pitman_yor.unpack(bytes(x["payload"]))
         numbers = np.unique(pitman_yor.cell_numbers(common.astype(np.int32)[rank], lengths.astype(np.int64), len(shards)))
         word, context, bucket, _ = pitman_yor.by_bucket(numbers, shards.astype(np.int64), 2)
@@ -189,6 +188,16 @@ def test_each_previous_word_has_a_restaurant_of_its_own(spark):
     assert len(held) == 300 and min(held) > math.log10(1 / 300) + 3 * math.log10(0.75)
 
 
+def test_equal_blocks_and_a_block_per_text(spark):
+    """Repeated rows of which each is a block."""
+    text = "a b a b c " * 20
+    rows = spark.createDataFrame([(1, text, "s", True)] * 3, DOCS).coalesce(1).selectExpr("doc_id", "cast(text as binary)", "learn")
+    own = rows.mapInArrow(pitman_yor._count_blocks(2, 50), pitman_yor.ROW).where("kind = 'own'").collect()
+    assert len({x["block"] for x in own}) == 3
+    got = pitman_yor.score_texts(spark.createDataFrame([(1, text, "s", True)] * 3, DOCS).coalesce(1), "learn", block=50).collect()
+    assert len(got) == 3 and len({x["score"] for x in got}) == 1
+
+
 def test_a_very_long_text(spark):
     r = random.Random(3)
     long = " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(300_000))

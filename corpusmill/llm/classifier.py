@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import broadcast_within, materialize, table
@@ -98,18 +99,27 @@ def fit(rows: list[tuple[bytes, int]], max_features: int = 1000, least_docs: int
     return Classifier(keys[chosen], w, float(b), prior)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, max_labelled: int = 8000) -> Classifier:
-    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of the key; bad: any label of quality 0 or toxic 1."""
-    bad = labels.groupBy(key).agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad")).where(F.col(key).isNotNull())
+def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, max_labelled: int = 8000, max_bytes: int = 256 << 20) -> Classifier:
+    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of the key, and at most ``max_bytes`` of their features, in that order; bad: any label of quality 0 or toxic 1.
+
+    Labels without a key, quality and toxic mark, or without both of these, are ignored. A key counts once,
+    however often its rows are repeated (of different texts, that of the least hash).
+    """
+    known = labels.where(F.col(key).isNotNull() & F.coalesce("quality", "toxic").isNotNull())
+    bad = known.groupBy(key).agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("bad"))
     chosen = bad.orderBy(F.xxhash64(key), key).limit(max_labelled)
-    rows = docs.join(F.broadcast(chosen), key).select(F.coalesce(F.col(text), F.lit("")).alias("t"), "bad")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    once = docs.join(F.broadcast(chosen), key).groupBy(key).agg(F.min_by(whole, F.struct(F.xxhash64(whole), F.length(whole))).alias("t"), F.min("bad").alias("bad"))
+    rows = once.select("t", "bad", F.xxhash64(key).alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary()), *b.columns[1:]], names=["x", "y", "place"])
 
-    got = rows.mapInArrow(run, "x binary, y int").orderBy("y", F.xxhash64("x"), "x").limit(max_labelled).collect()
-    return fit([(bytes(r["x"]), r["y"]) for r in got])
+    found = rows.mapInArrow(run, "x binary, y int, place long")
+    # One window over max_labelled rows at most.
+    within = found.withColumn("size", F.sum(F.length("x")).over(W.orderBy("place", "x"))).where(F.col("size") <= max_bytes)
+    return fit([(bytes(r["x"]), r["y"]) for r in within.orderBy("place", "x").select("x", "y").collect()])
 
 
 def logit(p: Column) -> Column:
@@ -134,9 +144,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     and by path within host; a host's rate is shrunk toward the global rate, a path's toward its host's, with
     prior strengths estimated by moments, so that sparse sites stay near the global prior. The rate without
     the document's own share is its prior odds. Sums go by host and path with partial aggregation, so a hot
-    host costs no more than others. Null text is empty; a null host or path is a value of its own; labels
-    with a null key are ignored, and with no labels at all the evidence is 0 and everything is kept. Repeated
-    rows are judged each; an empty table gives no rows; other columns are ignored.
+    host costs no more than others. Null text is empty; very long texts are read whole, each in its row; a null
+    host or path is a value of its own; labels with a null key are ignored, and with no labels at all the
+    evidence is 0 and everything is kept. Repeated rows are judged each but learnt from once; an empty table
+    gives no rows; other columns are ignored.
     """
     net = learn(docs.select(key, text), labels.select(key, "quality", "toxic"), key, text, max_labelled)
     rows = docs.select(F.col(key).alias("__key"), F.col(host).alias("__host"), F.col(path).alias("__path"), F.coalesce(F.col(text), F.lit("")).alias("__text"))

@@ -17,6 +17,7 @@ CUTOFFS = {
     "dup_line_ratio": ("above", [0.8, 0.6, 0.5, 0.4, 0.3]),
     "word_length": ("below", [2.0, 2.5, 3.0, 3.5]),
 }
+#: Most false rejections of a stratum's verdict, all rules together, and the chance of missing that anywhere.
 MAX_RISK, ERROR = 0.02, 0.05
 
 
@@ -111,13 +112,15 @@ def _best_cutoff(tests: Column) -> Column:
 def select_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: str, max_risk: float = MAX_RISK, error: float = ERROR) -> DataFrame:
     """One row per stratum: ``stratum`` and the chosen cutoff of each rule (null: none is certified).
 
-    Holdout: documents that pass the base rules and have a label; one with any label 0 counts as bad. For each
-    stratum and rule, cutoffs are tested from loosest to strictest in fixed sequence, each by the exact binomial
-    test of "it rejects more than ``max_risk`` of the good documents" at level ``error`` / (strata * rules);
-    the sequence stops at the first that is not rejected. So with probability 1 - ``error`` every cutoff in
-    use keeps its false rejections under ``max_risk``. Of the certified cutoffs the one with the largest
-    share of bad less share of good documents is used, the loosest of equals, if that is above 0.
+    Holdout: documents that pass the base rules and have a label; one with any label 0 counts as bad. A document
+    goes if any rule fires, so each rule may use up ``max_risk`` / rules. For each stratum and rule, cutoffs are
+    tested from loosest to strictest in fixed sequence, each by the exact binomial test of "it rejects more than
+    that share of the good documents" at level ``error`` / (strata * rules); the sequence stops at the first
+    that is not rejected. So with probability 1 - ``error`` the rules in use, together, reject under ``max_risk``
+    of each stratum's good documents. Of the certified cutoffs the one with the largest share of bad less share
+    of good documents is used, the loosest of equals, if that is above 0.
     """
+    share = max_risk / len(CUTOFFS)
     good = labels.where(F.col("quality").isin(0, 1)).groupBy(key).agg(F.min("quality").alias("quality"))
     held = measured.where(~F.col("base_failed")).select(key, stratum, *CUTOFFS).join(good, key)
     is_good = F.col("quality") == 1
@@ -133,7 +136,7 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: st
         "c.rule",
         F.struct(
             F.col("c.i").alias("i"),
-            (binomial_tail(F.col("c.g"), F.col("n_good"), max_risk) <= level).alias("sure"),
+            (binomial_tail(F.col("c.g"), F.col("n_good"), share) <= level).alias("sure"),
             (F.col("c.b") / F.greatest("n_bad", F.lit(1)) - F.col("c.g") / F.greatest("n_good", F.lit(1))).alias("gain"),
             F.col("c.cut").alias("cut"),
         ).alias("test"),
@@ -143,17 +146,19 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: st
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", max_risk: float = MAX_RISK, error: float = ERROR, max_broadcast_strata: int = 10_000, carry: list[str] | None = None) -> DataFrame:
-    """``key``, ``stratum`` (or the columns ``carry``), the counts and metrics, base_failed, rejected_by (array of rules) and kept.
+    """``key``, ``stratum``, the counts and metrics, base_failed, rejected_by (array of rules) and kept; with ``carry``, a struct ``carried`` of those columns.
 
     Null text has no words and fails the base rules. Labels with a null key or a quality other than 0 and 1
     are ignored. A null stratum is one of its own. Without labels only the base rules reject. Repeated rows
-    are judged each. Very long texts are handled within their row; other columns are ignored. With ``carry``
-    the texts are measured a second time rather than joined back, so that no text is shuffled.
+    are judged each. Very long texts are handled within their row; other columns are ignored. Columns to
+    carry are written with the metrics, so that texts are measured once; as fields of a struct they clash with
+    no result.
     """
-    measured = materialize(measure(docs.select(key, text, stratum), text, [key, stratum]))
-    cutoffs = materialize(select_cutoffs(measured, labels, key, stratum, max_risk, error))
+    keep = [key, stratum]
     if carry is not None:
-        measured = measure(docs, text, list(dict.fromkeys([*carry, stratum])))
+        docs, keep = docs.select(key, stratum, F.col(text).alias("__whole"), F.struct(*carry).alias("carried")), [*keep, "carried"]
+    measured = materialize(measure(docs, text if carry is None else "__whole", keep))
+    cutoffs = materialize(select_cutoffs(measured, labels, key, stratum, max_risk, error))
     joined = measured.join(broadcast_within(cutoffs, max_broadcast_strata), F.col(stratum).eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
     by = F.filter(F.array(*[F.when(fires(rule, F.col(f"cut_{rule}")), F.lit(rule)) for rule in CUTOFFS]), lambda x: x.isNotNull())
     out = joined.withColumn("rejected_by", by).drop(*[f"cut_{rule}" for rule in CUTOFFS])
@@ -167,6 +172,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_sql() -> str:
+    share = MAX_RISK / len(CUTOFFS)
     rules = [(rule, i, cut, sign) for rule, (sign, cuts) in CUTOFFS.items() for i, cut in enumerate(cuts)]
     values = ", ".join(f"('{rule}', {i}, CAST({cut} AS DOUBLE), {'TRUE' if sign == 'above' else 'FALSE'})" for rule, i, cut, sign in rules)
     unpivot = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{rule}' AS rule, {rule} AS m FROM measured" for rule in CUTOFFS)
@@ -187,8 +193,8 @@ cuts(rule, i, cut, above) AS (VALUES {values}),
 cnt AS (SELECT lang, cuts.rule AS rule, i, cut, above, count(*) FILTER (quality = 1) AS ng, count(*) FILTER (quality = 0) AS nb,
   count(*) FILTER (quality = 1 AND (CASE WHEN above THEN m >= cut ELSE m <= cut END)) AS g, count(*) FILTER (quality = 0 AND (CASE WHEN above THEN m >= cut ELSE m <= cut END)) AS b
   FROM long JOIN lab USING (doc_id) JOIN cuts ON long.rule = cuts.rule WHERE NOT base_failed GROUP BY ALL),
-tested AS (SELECT *, CASE WHEN g < ng * {MAX_RISK} THEN list_sum(list_transform(range(0, g + 1), lambda j: exp(lgamma(ng + 1) - lgamma(j + 1) - lgamma(ng - j + 1) + j * ln({MAX_RISK}) + (ng - j) * ln(1 - {MAX_RISK})))) ELSE 1 END
-  <= {ERROR} / (count(DISTINCT lang) OVER () * {len(CUTOFFS)}) AS sure, b / greatest(nb, 1) - g / greatest(ng, 1) AS gain FROM cnt),
+tested AS (SELECT *, CASE WHEN g < ng * {share} THEN list_sum(list_transform(range(0, g + 1), lambda j: exp(lgamma(ng + 1) - lgamma(j + 1) - lgamma(ng - j + 1) + j * ln({share}) + (ng - j) * ln(1 - {share})))) ELSE 1 END
+  <= {ERROR} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM cnt)) * {len(CUTOFFS)}) AS sure, b / greatest(nb, 1) - g / greatest(ng, 1) AS gain FROM cnt),
 ok AS (SELECT *, bool_and(sure) OVER (PARTITION BY lang, rule ORDER BY i) AS certified FROM tested),
 best AS (SELECT lang, rule, max_by(cut, [gain, -i]) AS cut, any_value(above) AS above FROM ok WHERE certified AND gain > 0 GROUP BY lang, rule),
 rej AS (SELECT DISTINCT doc_id FROM long JOIN best ON long.rule = best.rule AND long.lang IS NOT DISTINCT FROM best.lang WHERE CASE WHEN above THEN m >= cut ELSE m <= cut END)

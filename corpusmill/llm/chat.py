@@ -60,7 +60,7 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
 
     The plain template is rendered and parsed back; where the recovered turns differ from the source,
     conflicting content is escaped and the result parsed again (``escape_rounds`` 1). ``round_trip`` is that
-    last comparison and always true. Turns go by ``turn`` (null first), ties by role and text; repeated rows
+    last comparison; where it is false, the query fails. Turns go by ``turn`` (null first), ties by role and text; repeated rows
     stay; null role or text is empty; a null conversation is one of its own. ``loss_spans`` are (start, end)
     offsets in ``formatted``, in code points. An empty table gives no rows; other columns are ignored.
     """
@@ -87,8 +87,11 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
         ),
         lambda acc: F.coalesce(acc["spans"], F.array().cast("array<struct<start:int,end:int>>")),
     )
+    # A conversation that doesn't come back would be a fault of the grammar: it fails the query, and isn't returned.
+    same = F.coalesce(F.col("recovered") == F.col("turns"), F.lit(False))
+    returned = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("no round trip for conversation "), F.coalesce(F.col(conv).cast("string"), F.lit("null")))))
     loss = F.array_join(F.transform(F.filter("recovered", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
-    return out.select(conv, "turns", "formatted", "recovered", walked.alias("loss_spans"), loss.alias("loss_text"), "escape_rounds", F.coalesce(F.col("recovered") == F.col("turns"), F.lit(False)).alias("round_trip"))
+    return out.select(conv, "turns", returned.alias("formatted"), "recovered", walked.alias("loss_spans"), loss.alias("loss_text"), "escape_rounds", same.alias("round_trip"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

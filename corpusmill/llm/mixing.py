@@ -59,7 +59,10 @@ def settle(items: Column, seed: int) -> Column:
 
 
 def finish(fold: Column, seed: int) -> Column:
-    """Settle a source's last open document by a seeded draw, and repay the words this adds or lacks by turning over settled documents of its chunk, largest that fits first. Returns an array of DONE."""
+    """Settle a source's last open document by a seeded draw, and repay the words this adds or lacks by turning over settled documents of its chunk that fit, in random order (by a seeded hash, so that no size is favoured).
+
+    What is left over is less than every document of the chunk that could still be turned. Returns an array of DONE.
+    """
     a = fold["open"]
     taken = (unit_hash(F.lit(seed), a["id"], a["tie"]) < a["part"]).cast("int")
     last = F.struct(a["id"].alias("id"), a["size"].alias("size"), taken.alias("extra"), a["tie"].alias("tie"))
@@ -71,7 +74,9 @@ def finish(fold: Column, seed: int) -> Column:
         return F.struct(debt.alias("debt"), F.concat(acc["out"], F.array(turned)).alias("out"))
 
     start = F.struct(((taken - a["part"]) * a["size"]).alias("debt"), F.array(last).cast(f"array<{DONE}>").alias("out"))
-    return F.aggregate(F.array_sort(fold["done"], lambda a, b: by_size(a, b)), start, repay, lambda acc: acc["out"])
+    drawn = F.transform(fold["done"], lambda x: F.struct(unit_hash(F.lit(seed + 1), x["id"], x["tie"]).alias("at"), x.alias("x")))
+    shuffled = F.transform(F.array_sort(drawn), lambda d: d["x"])
+    return F.aggregate(shuffled, start, repay, lambda acc: acc["out"])
 
 
 def by_size(a: Column, b: Column) -> Column:
@@ -90,7 +95,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     documents of ``chunk`` chunks meet in the next level, until one per source is left, which ``finish``
     settles. A hot source only has more chunks. Null text has size 0 and takes nothing; a null source comes
     last and is a source of its own; null or repeated keys are told apart by a hash of the row, equal rows
-    by their number. An empty table gives no rows. The same input gives the same mix.
+    by their number. Very long texts are counted whole, each in its row. Columns of ``docs`` named like a
+    result, unless carried, are ignored. An empty table gives no rows. The same input gives the same mix.
     """
     keep = [key, source] if carry is None else carry
     measured = [F.col(key).alias("__id"), F.col(source).alias("__source"), count_words(F.col(text)).alias("__size"), F.xxhash64(F.col(text)).alias("__tie")]

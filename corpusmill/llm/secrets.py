@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("[0-9a-f]{16,}")
 #: What the network looks at besides.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
-DIGIT, ALNUM = re.compile("[0-9]"), re.compile("[A-Za-z0-9]")
+DIGIT, ALNUM, TOKEN = re.compile("[0-9]"), re.compile("[A-Za-z0-9]"), re.compile("[A-Za-z0-9]+")
 
 LEFT, MIDDLE, RIGHT = 24, 40, 8
 WIDTH, FILTERS, CHANNELS = 5, 32, 12
@@ -50,28 +51,51 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text)]
 
 
-def overlaps(span: tuple[int, int], spans: list[Span]) -> bool:
-    return any(s < span[1] and span[0] < e for s, e, _, _ in spans)
+class Covered:
+    """Spans by start, to find those that overlap a run without a look at all."""
 
+    def __init__(self, spans: list[Span]) -> None:
+        self.spans = sorted((s, e) for s, e, _, _ in spans)
+        self.ends, last = [], 0  # the furthest end so far never falls
+        for _, e in self.spans:
+            last = max(last, e)
+            self.ends.append(last)
 
-def open_parts(text: str, run: tuple[int, int], spans: list[Span]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    def within(self, run: tuple[int, int]) -> Iterator[tuple[int, int]]:
+        for i in range(bisect_right(self.ends, run[0]), len(self.spans)):
+            s, e = self.spans[i]
+            if s >= run[1]:
+                return
+            if e > run[0]:
+                yield s, e
+
+
+def open_parts(text: str, run: tuple[int, int], covered: Covered) -> list[tuple[tuple[int, int], tuple[int, int]]]:
     """(part, what is judged for it) for each part of a run that no rule's span covers: a part of 12 characters or more by itself, and a shorter one that goes on from a span without a separator with all of that token."""
     out, at = [], run[0]
-    for s, e in [*sorted((s, e) for s, e, _, _ in spans if s < run[1] and run[0] < e), (run[1], run[1])]:
+    left = right = (-1, -1)  # the token about the last part's first and last character, walked once
+    for s, e in [*covered.within(run), (run[1], run[1])]:
         if s - at >= 12:
             out.append(((at, s), (at, s)))
         elif s > at:
-            lo, hi = at, s
-            while lo > run[0] and ALNUM.match(text[lo]) and ALNUM.match(text[lo - 1]):
-                lo -= 1
-            while hi < run[1] and ALNUM.match(text[hi - 1]) and ALNUM.match(text[hi]):
-                hi += 1
-            if hi - lo > s - at:
-                out.append(((at, s), (lo, hi)))
+            left = left if left[0] <= at < left[1] else token(text, run, at)
+            right = right if right[0] < s <= right[1] else token(text, run, s - 1)
+            if right[1] - left[0] > s - at:
+                out.append(((at, s), (left[0], right[1])))
         at = max(at, e)
     return out
 
 
+def token(text: str, run: tuple[int, int], at: int) -> tuple[int, int]:
+    """The letters and digits about a place of a run, or the character there where it is none."""
+    if not ALNUM.match(text[at]):
+        return at, at + 1
+    start = at
+    while start > run[0] and ALNUM.match(text[start - 1]):
+        start -= 1
+    return start, TOKEN.match(text, at, run[1]).end()
+
+
 def windows(span: tuple[int, int]) -> list[tuple[int, int]]:
     """The span itself, or overlapping windows of ``MIDDLE`` characters over all of a longer one."""
     s, e = span
@@ -108,7 +132,7 @@ def channels() -> np.ndarray:
 
 @dataclass
 class Network:
-    """Embedding, one convolution with ReLU, maximum and mean over the candidate and its context, a logistic output, Platt calibration and a threshold."""
+    """Embedding (fixed properties of a character and four learnt numbers), one convolution with ReLU, maximum and mean over the candidate and its context, a logistic output, Platt calibration and a threshold."""
 
     weights: dict[str, np.ndarray]
     scale: float = 1.0
@@ -141,15 +165,22 @@ class Network:
         dh[rows, top, cols] += dp[:, :FILTERS]
         dh *= h > 0
         flat = dh.reshape(-1, FILTERS)
-        return {"conv": windows.reshape(len(flat), -1).T @ flat, "bias": flat.sum(axis=0), "out": pooled.T @ dz, "off": dz.sum(keepdims=True)}
+        back = (flat @ w["conv"].T).reshape(len(x), h.shape[1], WIDTH, -1)[..., CHANNELS:]
+        inputs = np.zeros((len(x), LENGTH, back.shape[-1]), np.float32)
+        for i in range(WIDTH):
+            inputs[:, i : i + h.shape[1]] += back[:, :, i]
+        embed = np.zeros_like(w["embed"])
+        for i in range(back.shape[-1]):
+            embed[:, CHANNELS + i] = np.bincount(x.ravel(), weights=inputs[..., i].ravel(), minlength=128)
+        return {"embed": embed, "conv": windows.reshape(len(flat), -1).T @ flat, "bias": flat.sum(axis=0), "out": pooled.T @ dz, "off": dz.sum(keepdims=True)}
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = np.concatenate([self.forward(x[i : i + 1024])[0] for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
         return 1 / (1 + np.exp(-(self.scale * z + self.shift)))
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 3, steps: int = 200, min_recall: float = 0.98) -> Network:
-    """Fit by Adam on four fifths; on the rest, calibrate by Platt's scaling, then take the highest threshold that still finds ``min_recall`` of the secrets, and 0.5 at least."""
+def train(x: np.ndarray, y: np.ndarray, seed: int = 3, steps: int = 200, min_recall: float = 0.98, unruled: np.ndarray | None = None) -> Network:
+    """Fit by Adam on four fifths; on the rest, calibrate by Platt's scaling, then take the highest threshold that still finds ``min_recall`` of the secrets, of those that no rule finds (``unruled``) where they are told."""
     r = np.random.default_rng(seed)
     order = r.permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]
@@ -174,8 +205,9 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 3, steps: int = 200, min_rec
         move = np.linalg.solve(hess, np.array([((p - target) * z).sum(), (p - target).sum()]))
         a, b = a - 0.5 * move[0], b - 0.5 * move[1]
     net.scale, net.shift = float(a), float(b)
-    found = np.sort(net.probability(x[held][good]))
-    net.threshold = max(0.5, float(found[int((1 - min_recall) * len(found))]) if len(found) else 0.5)
+    counted = good if unruled is None else good & unruled[held]
+    found = np.sort(net.probability(x[held][counted]))
+    net.threshold = float(found[int((1 - min_recall) * len(found))]) if len(found) else 0.5
     return net
 
 
@@ -280,20 +312,22 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
             found = []
             for t in b.column(0).to_pylist():
                 spans = base_spans(t)
+                covered = Covered(spans)
                 found += [(encode(t, one_window(t, (v, e))).tobytes(), 1) for _, e, v, _ in spans]
-                found += [(encode(t, one_window(t, c)).tobytes(), 0 if DIGIT.search(t, *c) else 2) for c in candidates(t) if not overlaps(c, spans)]
+                found += [(encode(t, one_window(t, c)).tobytes(), 0 if DIGIT.search(t, *c) else 2) for c in candidates(t) if not any(covered.within(c))]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
 
     found = rows.mapInArrow(run, "x binary, y int").distinct()
     sample = [f for kind in (0, 1, 2) for f in found.where(F.col("y") == kind).orderBy(F.xxhash64("x"), "x").limit(max_findings // 3).collect()]
     own = [(t, one_window(t, s), g) for t, s, g in made_findings(made, seed)] + made_runs(made // 2, seed) + [(t, one_window(t, s), g) for t, s, g in made_letters(made // 2, seed)]
+    unruled = np.array([False] * len(sample) + [not any(Covered(base_spans(t)).within(s)) for t, s, _ in own])
     x = np.stack([np.frombuffer(bytes(f["x"]), np.uint8) for f in sample] + [encode(t, s) for t, s, _ in own])
     y = np.array([f["y"] % 2 for f in sample] + [g for _, _, g in own], np.float32)
     found = np.arange(len(x)) < len(sample)
     sure = ~found | (y == 1)
     first = train(x[sure], y[sure], seed)
     sure[found & (y == 0)] = first.probability(x[found & (y == 0)]) < 0.5
-    return train(x[sure], y[sure], seed)
+    return train(x[sure], y[sure], seed, unruled=unruled[sure])
 
 
 # -- the scan -------------------------------------------------------------------------------------
@@ -302,14 +336,23 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
 def scan_texts(texts: list[str], net: Network) -> list[list[Span]]:
     """Spans of each text: those of the rules, and what they leave open of candidates where the network takes any window for a secret; by start, then kind as listed."""
     base = [base_spans(t) for t in texts]
-    open_ = [(i, c) for i, t in enumerate(texts) for run in candidates(t) for c in open_parts(t, run, base[i])]
-    if open_:
-        parts = [windows(judged) for _, (_, judged) in open_]
-        p = net.probability(np.stack([encode(texts[i], w) for (i, _), ws in zip(open_, parts, strict=True) for w in ws]))
-        best = np.maximum.reduceat(p, np.cumsum([0, *map(len, parts[:-1])]))
-        for (i, ((s, e), _)), score in zip(open_, best.tolist(), strict=True):
-            if score >= net.threshold:
-                base[i].append((s, e, s, "model"))
+    covered = [Covered(b) for b in base]
+    open_ = [(i, c) for i, t in enumerate(texts) for run in candidates(t) for c in open_parts(t, run, covered[i])]
+    judged = list(dict.fromkeys((i, j) for i, (_, j) in open_))  # parts of one token are judged by it together
+    best: dict[tuple[int, tuple[int, int]], float] = {}
+    at = 0
+    while at < len(judged):  # some ten thousand windows at once
+        to, size = at, 0
+        while to < len(judged) and size < 10_000:
+            size += len(windows(judged[to][1]))
+            to += 1
+        parts = [windows(j) for _, j in judged[at:to]]
+        p = net.probability(np.stack([encode(texts[i], w) for (i, _), ws in zip(judged[at:to], parts, strict=True) for w in ws]))
+        best |= dict(zip(judged[at:to], np.maximum.reduceat(p, np.cumsum([0, *map(len, parts[:-1])])).tolist(), strict=True))
+        at = to
+    for i, ((s, e), j) in open_:
+        if best[i, j] >= net.threshold:
+            base[i].append((s, e, s, "model"))
     return [sorted(b, key=lambda x: (x[0], KINDS.index(x[3]), x[1])) for b in base]
 
 
@@ -329,8 +372,9 @@ def scan_secrets(docs: DataFrame, net: Network, key: str = "doc_id", text: str =
     """(all columns of ``docs``, spans array of (kind, start, end, value_start), redacted) for each row.
 
     Offsets are in code points of the whole text, ends exclusive. Null text is empty and stays null in
-    ``redacted``. Columns named spans or redacted give way. Repeated rows are scanned each; an empty table
-    gives no rows.
+    ``redacted``. Very long texts are scanned whole, in time about in proportion to their length; spans of one
+    start are in the order of kinds, and overlapping ones are all reported and redacted together. Columns named
+    spans or redacted give way. Repeated rows are scanned each; an empty table gives no rows.
     """
     kept = docs.drop("spans", "redacted")
     rows = kept.withColumn("__text", F.coalesce(F.col(text), F.lit("")))

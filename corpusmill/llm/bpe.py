@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from corpusmill.llm.common import table
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACE_RUN = regex.compile(f"[{_SPACES}]+")
 _NO_RANK = np.int64(1) << 62
+#: Bytes of a word from which it is merged by itself.
+LONG = 1000
 
 
 def byte_alphabet() -> list[str]:
@@ -27,6 +30,12 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def every_other(starts: np.ndarray) -> np.ndarray:
+    """Of places in runs (True where a run starts), the first, third and so on of each run."""
+    at = np.arange(len(starts))
+    return (at - np.maximum.accumulate(np.where(starts, at, 0))) % 2 == 0
+
+
 class WordBpe:
     """A BPE with word ends over bytes, read from a tokenizer file: special strings are cut out of the raw text, the rest is normalised (NFC, white space, lower case) and split into words by the file's pattern."""
 
@@ -65,11 +74,13 @@ class WordBpe:
         symbols[ends - 1] = self.last[data[ends - 1]]
         owner = np.repeat(np.arange(len(words)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            found = self.merge_long(symbols[ends[i] - lengths[i] : ends[i]])
+            done.append((np.full(len(found), i), found))
+        short = (lengths <= LONG)[owner]
+        symbols, owner = symbols[short], owner[short]
         while len(symbols):
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.ranks[at], _NO_RANK)
-            rank = np.append(rank, _NO_RANK)
+            rank = np.append(np.where(owner[:-1] == owner[1:], self.rank_of(symbols[:-1], symbols[1:]), _NO_RANK), _NO_RANK)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.r_[starts, len(owner)])
@@ -77,9 +88,7 @@ class WordBpe:
             hit = (rank == lowest) & (rank != _NO_RANK)
             # Of pairs that overlap (a run of one symbol) every other one is merged, from the left.
             places = np.flatnonzero(hit)
-            run = np.r_[True, np.diff(places) != 1] if len(places) else np.zeros(0, bool)
-            first = places[np.flatnonzero(run)][np.cumsum(run) - 1] if len(places) else places
-            places = places[(places - first) % 2 == 0]
+            places = places[every_other(np.r_[True, np.diff(places) != 1][: len(places)])]
             symbols = symbols.copy()
             symbols[places] = self.merged[rank[places]]
             stay = np.ones(len(symbols), bool)
@@ -94,6 +103,54 @@ class WordBpe:
         order = np.argsort(owners, kind="stable")
         return np.split(ids[order].astype("<u4"), np.cumsum(np.bincount(owners, minlength=len(words)))[:-1])
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, by binary search over the sorted keys of pairs."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NO_RANK)
+
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of one long word: the same rounds, but a round only touches the pairs of its rank and those beside them. Places of each rank are kept, and dropped when they are looked at after a change."""
+        n = len(symbols)
+        symbols, alive = symbols.copy(), np.ones(n + 1, bool)
+        left, right = np.arange(-1, n), np.arange(1, n + 2)  # the place n stands for the end
+        rank = np.append(self.rank_of(symbols[:-1], symbols[1:]), [_NO_RANK, _NO_RANK])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def add(places: np.ndarray) -> None:
+            places = places[rank[places] != _NO_RANK]
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            for part in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1) if len(places) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting.setdefault(r, []).append(part)
+
+        add(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[alive[places] & (rank[places] == r)]
+            if not len(places):
+                continue
+            places = places[every_other(np.r_[True, right[places[:-1]] != places[1:]])]
+            gone = right[places]
+            symbols[places] = self.merged[r]
+            alive[gone] = False
+            after = right[gone]
+            right[places] = after
+            left[after] = places
+            beside = np.unique(np.r_[places, left[places][left[places] >= 0]])
+            beside = beside[alive[beside]]
+            ahead = right[beside]
+            inside = ahead < n
+            rank[beside] = _NO_RANK
+            rank[beside[inside]] = self.rank_of(symbols[beside[inside]], symbols[ahead[inside]])
+            add(beside)
+        return symbols[alive[:n]]
+
     def split(self, text: str) -> list[str]:
         """Words and special strings of a text, in order."""
         out: list[str] = []

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialize, table
+from corpusmill.llm.common import discard, materialize, table
 
 BITS, SEED, FAN, CHUNK, BATCH = 64, 42, 16, 4096, 4096
 
@@ -102,9 +102,6 @@ class Index:
         self.masks = [~(low ^ high) for low, high in self.levels]
         self.patterns = [low for low, _ in self.levels]
 
-    def node(self) -> tuple[int, int]:
-        return int(self.masks[-1][0]), int(self.patterns[-1][0])
-
 
 class Forest:
     """Labels of items that links have joined; ``edges`` is a spanning forest of label pairs."""
@@ -191,7 +188,9 @@ def _span(forest: Forest, index: Index, level: int, shift: int) -> tuple[np.ndar
     return np.minimum.reduceat(labels, at), np.maximum.reduceat(labels, at)
 
 
-LINKS = "a long, b long, tab int, key long, uid string, mask long, pattern long, fps binary"
+#: Links (a, b), or a chunk (its place in the order of partitions, and the bits that all or any of its items have).
+LINKS = "a long, b long, tab int, key long, place long, low long, high long, fps binary"
+PARTS, SEQS = 24, 28  # bits of a chunk's place: its partition, and its number there
 
 
 def _link_rows(fps: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
@@ -199,7 +198,7 @@ def _link_rows(fps: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
         return None
     e = np.array(forest.edges)
     n = len(e)
-    nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())]
+    nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(fps[e[:, 0]].view(np.int64)), pa.array(fps[e[:, 1]].view(np.int64)), *nothing], names=_NAMES)
 
 
@@ -221,9 +220,9 @@ def _index_runs(distance: int):
             if may_go_on:
                 seq += 1
                 signed = lambda x: int(np.uint64(x).view(np.int64))
-                mask, pattern = index.node()
-                values = [None, None, key[0], key[1], f"{part}-{seq}", signed(mask), signed(pattern), fps.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_NAMES)
+                low, high = (x[0] for x in index.levels[-1])
+                values = [None, None, key[0], key[1], part << SEQS | seq, signed(low), signed(high), fps.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_NAMES)
 
         cut = False  # the run in hand has been cut before
         for b in batches:
@@ -266,39 +265,80 @@ def hamming_links(fps: DataFrame, distance: int = 4) -> DataFrame:
 
     Each table keys fingerprints by some blocks of bits and range-partitions them by key and Gray rank of
     the rest, so that a hot key spreads over partitions. A partition indexes its sorted runs in chunks of
-    CHUNK. Chunks of one key meet only if the bits shared within each allow a link.
+    CHUNK. Chunks of one key are the leaves of a tree above, which is walked from the top like that within.
     """
     tables = layouts(distance, fps.count())
     placed = F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), gather(F.col("fp"), k).alias("key"), gather(F.col("fp"), rest).alias("rest")) for t, (k, rest) in enumerate(tables)]))
     rows = add_gray_rank(fps.select("fp", placed.alias("p")).select("p.tab", "p.key", "fp", "p.rest"), "rest", "rank")
     out = materialize(rows.repartitionByRange("tab", "key", "rank").sortWithinPartitions("tab", "key", "rank").select("tab", "key", "fp").mapInArrow(_index_runs(distance), LINKS))
-    nodes = out.where(F.col("uid").isNotNull())
-    x, y = (nodes.select("tab", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("uid", "mask", "pattern")]) for s in "xy")
-    apart = F.bit_count(F.col("pattern_x").bitwiseXOR(F.col("pattern_y")).bitwiseAND(F.col("mask_x")).bitwiseAND(F.col("mask_y")))
-    pairs = x.join(y, ["tab", "key"]).where((F.col("uid_x") < F.col("uid_y")) & (apart <= distance)).select("uid_x", "uid_y")
-    blobs = lambda s: nodes.select(F.col("uid").alias(f"uid_{s}"), F.col("fps").alias(f"fps_{s}"))
-    crossed = pairs.join(blobs("x"), "uid_x").join(blobs("y"), "uid_y").select("fps_x", "fps_y").mapInArrow(_link_chunks(distance), LINKS)
+    nodes = out.where(F.col("place").isNotNull())
+    pairs = near_chunks(nodes.select("tab", "key", "place", "low", "high"), distance)
+    blobs = lambda s: nodes.select(F.col("place").alias(s), F.col("fps").alias(f"fps_{s}"))
+    crossed = pairs.join(blobs("x"), "x").join(blobs("y"), "y").select("fps_x", "fps_y").mapInArrow(_link_chunks(distance), LINKS)
     return out.where(F.col("a").isNotNull()).select("a", "b").unionByName(crossed.select("a", "b"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def near_chunks(nodes: DataFrame, distance: int) -> DataFrame:
+    """(x, y): places x < y of the chunks of one key whose shared bits differ in at most ``distance``.
+
+    Chunks that follow each other have a parent for each 16 places, and so on up to one node a key. Pairs are
+    walked from the top; the children of a pair are paired only if its shared bits allow a link.
+    """
+    several = nodes.join(nodes.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["tab", "key"])
+    # Places are cut to the bits in use, so that the tree is no higher than they need.
+    most = several.agg(F.max(F.shiftright("place", SEQS)), F.max(F.col("place").bitwiseAND(F.lit((1 << SEQS) - 1)))).first()
+    if most[0] is None:
+        return nodes.select(F.col("place").alias("x"), F.col("place").alias("y")).limit(0)
+    seq_bits = int(most[1]).bit_length()
+    short = F.shiftleft(F.shiftright("place", SEQS), seq_bits).bitwiseOR(F.col("place").bitwiseAND(F.lit((1 << seq_bits) - 1)))
+    levels = [materialize(several.select("tab", "key", short.alias("at"), "low", "high", "place"))]
+    for _ in range(-(-(int(most[0]).bit_length() + seq_bits) // 4)):
+        up = levels[-1].groupBy("tab", "key", F.shiftright("at", 4).alias("at")).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high"))
+        levels.append(materialize(up))
+    pairs = levels[-1].select("tab", "key", F.col("at").alias("x"), F.col("at").alias("y"))
+    for level in reversed(levels[:-1]):
+        sides = [level.select("tab", "key", F.shiftright("at", 4).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in level.columns[2:]]) for s in "xy"]
+        both = pairs.join(sides[0], ["tab", "key", "x"]).join(sides[1], ["tab", "key", "y"])
+        shared = F.bitwise_not(F.col("low_x").bitwiseXOR(F.col("high_x"))).bitwiseAND(F.bitwise_not(F.col("low_y").bitwiseXOR(F.col("high_y"))))
+        apart = F.bit_count(F.col("low_x").bitwiseXOR(F.col("low_y")).bitwiseAND(shared))
+        near = both.where((F.col("at_x") <= F.col("at_y")) & (apart <= distance))
+        pairs = near.select("tab", "key", *[F.col(f"at_{s}").alias(s) for s in "xy"], *[F.col(f"place_{s}") for s in "xy" if "place" in level.columns])
+    return pairs.where("x < y").select(F.col("place_x").alias("x"), F.col("place_y").alias("y"))
+
+
+def join_hot(big: DataFrame, per_key: DataFrame, key: str, rows: int) -> DataFrame:
+    """Join ``big``, of ``rows`` rows, with ``per_key``: one row per key, with ``n``, its number of rows of ``big``.
+
+    Keys of more than a partition's share of the rows are fewer than partitions, so they are broadcast, and no
+    task gets all rows of one.
+    """
+    share = max(1000, rows // int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(per_key.where(F.col("n") > share))
+    rest = big.join(hot.select(key), key, "left_anti").join(per_key.where(F.col("n") <= share), key)
+    return big.join(hot, key).unionByName(rest).drop("n")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (a, b); root is the least node reachable.
 
-    Large-star and small-star in turn, written to the shared folder after each round, until nothing changes.
+    Large-star and small-star in turn, written to the shared folder after each round, until nothing changes,
+    however many rounds that takes (the stars' sizes grow with each). Centres of many edges are joined by broadcast.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while True:
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = materialize(join_hot(both, least, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, lowest, "u", now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(e, large)
+        e = after
     leaves = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
 
@@ -316,8 +356,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     roots = materialize(connected_components(hamming_links(distinct.select("fp"), distance)))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked)
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.select("fp", "root").join(named, "root")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_fp = join_hot(linked.select("fp", "root"), named, "root", linked.count())
     return rows.join(by_fp, "fp").select(*[c for c in rows.columns if c != "fp"], "fp", "root", "component_id")
 
 

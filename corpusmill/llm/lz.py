@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import table
@@ -85,26 +86,27 @@ def fingerprint_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Rows go in descending order of ``key`` (null last, equal keys by a hash of the text); each is compared
     with an edited text, its last third replaced by the start of the next row's text (after the last row:
     the first), and with the next row. Keys are cut into ranges by approximate quantiles over all rows, and
-    each range gets one more row, the first of the next range, so that every task streams through its rows
-    with two texts in hand. The edited text's parse goes on from the original's, which has the same
-    start. Null text is empty: its fingerprint has only empty bins. A single row is its own next. Very long
-    texts cost memory in proportion to one text. An empty table gives no rows.
+    a key (or null) that fills several ranges by the hash of the text; each range gets one more row, the first
+    of the next range, so that every task streams through its rows with two texts in hand. The edited text's
+    parse goes on from the original's, which has the same start. Null text is empty: its fingerprint has only
+    empty bins. A single row is its own next. Very long texts cost memory in proportion to one text. Repeated
+    rows each have a result, and are each other's next. An empty table gives no rows; other columns are ignored,
+    and none can clash.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) * buckets_per_partition
     rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     # n numbers at most come to the driver.
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("__key").isNull(), len(set(cuts)) + 1).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("__key"))))
+    cuts, nulls, count = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n)), F.count_if(F.col(key).isNull()), F.count("*")).first()
     place = F.struct(F.col("__key").isNull().alias("none"), F.bitwise_not(F.coalesce(F.col("__key"), F.lit(0)).cast("long")).alias("down"), F.xxhash64("__text").alias("tie"))
-    placed = rows.withColumn("__bucket", bucket.cast("int")).withColumn("__place", place)
+    bucket = _bucket(F.col("__key"), F.xxhash64("__text"), cuts or [], -(-n * nulls // max(count, 1)))
+    placed = rows.withColumn("__bucket", bucket).withColumn("__place", place)
     firsts = sorted(tuple(r) for r in placed.groupBy("__bucket").agg(F.min("__place")).collect())
     schema = docs.select(key).schema
     for f in spark.createDataFrame([], "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").schema:
         schema = schema.add(f)
     # Bounded by the number of buckets: the first row of each, and the bucket that needs it besides.
-    guests = spark.createDataFrame([(b, p, firsts[i - 1][0]) for i, (b, p) in enumerate(firsts)], "__b int, __first struct<none:boolean,down:bigint,tie:bigint>, __before int")
+    guests = spark.createDataFrame([(b, p, firsts[i - 1][0]) for i, (b, p) in enumerate(firsts)], "__b long, __first struct<none:boolean,down:bigint,tie:bigint>, __before long")
     spread = placed.join(F.broadcast(guests), (F.col("__bucket") == F.col("__b")) & (F.col("__place") == F.col("__first")), "left")
     home = F.struct(F.col("__bucket").alias("bucket"), F.lit(False).alias("guest"))
     spread = spread.select("__key", "__text", "__place", F.explode(F.when(F.col("__b").isNull(), F.array(home)).otherwise(F.array(home, F.struct(F.col("__before").alias("bucket"), F.lit(True).alias("guest"))))).alias("__at"))
@@ -135,6 +137,30 @@ def fingerprint_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return dealt.select("__key", "__text", "__bucket", "__guest").mapInArrow(run, schema)
 
 
+def _bucket(key: Column, tie: Column, cuts: list[int], null_parts: int) -> Column:
+    """Number of a row's range, in the order of rows: by how many ``cuts`` are above the key, and for a key that several cuts name (or null, for ``null_parts``), by its share of the hashes.
+
+    Cuts are looked up in two steps, among every step-th and then within a step, from constant arrays.
+    """
+    down = sorted(set(cuts), reverse=True)
+    parts = {c: cuts.count(c) for c in down} if len(down) < len(cuts) else {}
+    step = max(1, math.isqrt(len(down)))
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    above = lambda xs: F.size(F.filter(xs, lambda c: c > key))
+    coarse = above(numbers(down[step - 1 :: step]))
+    rows = F.split(F.lit(";".join(",".join(map(str, down[i : i + step])) for i in range(0, len(down), step))), ";")
+    fine = above(F.split(F.coalesce(F.get(rows, coarse), F.lit("")), ",").try_cast("array<bigint>"))
+    before = coarse * step + fine if down else F.lit(0)
+    several = {c: m for c, m in parts.items() if m > 1}
+    share = lambda m: 1 + F.shiftright((F.shiftright(tie, 32) + (1 << 31)) * m, 32)
+    own = F.lit(0).cast("long")
+    if several:
+        m = F.get(numbers(list(several.values())), F.array_position(numbers(list(several)), key).cast("int") - 1)
+        own = F.coalesce(share(m), F.lit(0))
+    number = F.shiftleft(before.cast("long"), 32) + own
+    return F.when(key.isNull(), F.lit((len(down) + 1) << 32) + share(F.lit(max(1, null_parts)))).otherwise(number)
+
+
 def _row(key, parsed: Parse, hashed: tuple[np.ndarray, np.ndarray], following: str, next_sig: np.ndarray) -> tuple:
     hashes, sig = hashed
     third = len(parsed.text) - parsed.mark

@@ -62,6 +62,23 @@ def test_near_dedup_on_odd_rows(spark):
     assert simhash.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_long_chains_and_hot_centres_of_links(spark):
+    chain = [(i, i + 1) for i in range(3000)]
+    star = [(10_000, 10_001 + i) for i in range(3000)]
+    df = spark.createDataFrame(chain + star + [(5, 5)], "a long, b long").repartition(6)
+    got = {x["node"]: x["root"] for x in simhash.connected_components(df).collect()}
+    assert got == {i: 0 for i in range(3001)} | {10_000 + i: 10_000 for i in range(3001)}
+    assert simhash.connected_components(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(300_000))
+    rows = [(1, long, "x", 0), (2, long + " end", "x", 0), (3, " ".join(reversed(long.split())), "x", 0)]
+    out = {r["doc_id"]: r for r in simhash.near_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[1]["component_id"] == out[2]["component_id"] == 1 and out[3]["component_id"] == 3
+    assert out[1]["fp"] % 2**64 == simhash.fingerprint(long.encode())
+
+
 TURNS = "conv_id long, turn int, role string, text string, formatted string"
 
 
@@ -89,6 +106,7 @@ def test_urls(spark):
         "h://example.net/de/81#f": (None, "example.net/de/8", "block"),
         "h://u://x.org/es/": (None, None, "allow"),
     }
+    cases["s://" + "a." * 100_000 + "example.com/en/7" + "/b" * 100_000] = ("com/en/", "example.com/en/7", "allow")
     rows = [(i, u, "mine") for i, u in enumerate(cases)] + [(90, None, "mine"), (91, "no scheme", "mine"), (92, "", "mine"), (93, "s://h." + "x" * 50_000, "mine")]
     rules = spark.createDataFrame([*urls.RULES, *urls.RULES, (None, "/x", "block")], "host string, path string, action string")
     out = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string"), rules).collect()}

@@ -38,3 +38,18 @@ def test_stages(spark, tmp_path):
     net = bpe.load(bpe.vocabulary())
     want = sorted(len(i) // 4 for i, _ in net.encode([d["text"] for d in kept[3]]))
     assert sorted(x["n_tokens"] for x in last) == want
+
+
+def test_odd_tables_pass_all_stages(spark, tmp_path):
+    """An empty table, a table of nulls, very long texts, repeated rows and more columns named like results."""
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(n))
+    long = prose(100_000)
+    rows = [(None, None, None, None, None)] * 3 + [(1, "", "en", "a", 0), (2, long, "en", "a", len(long)), (2, long, "en", "a", len(long)), (3, prose(40), None, None, 200)]
+    for n, rows_ in enumerate(([], rows[:3], rows)):
+        sf = str(tmp_path / str(n))
+        df = spark.createDataFrame([(*x, "mine", "mine", 1.0) for x in rows_], "doc_id long, text string, lang string, source string, n_chars long, kept string, spans string, size double")
+        df.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = P.run(spark, sf).collect()
+        assert {x["doc_id"] for x in out} <= {2, 3} and (n == 2) == any(x["n_tokens"] > 100_000 for x in out)

@@ -63,13 +63,32 @@ def test_cutoffs_reject_junk_and_hold_their_risk(spark):
     assert len(out) == len(rows)
     assert {(5000, False), (5001, True), (5002, False), (5003, True)} <= verdict
     assert sum(not x["kept"] for x in out if x["doc_id"] < 1500 and x["doc_id"] % 5) == 0
-    carried = quality.judge_quality(df, lab, carry=["doc_id", "text", "lang"]).where("kept")
+    carried = quality.judge_quality(df, lab, carry=["doc_id", "text", "lang"]).where("kept").select("carried.*")
     assert sorted(x["doc_id"] for x in carried.collect()) == sorted(x["doc_id"] for x in out if x["kept"])
     few = quality.judge_quality(df, lab.limit(20))
     assert few.where("doc_id = 5000").first()["kept"]  # too few labels certify nothing
     assert quality.judge_quality(spark.createDataFrame([], DOCS), lab).count() == 0
 
 
+def test_all_rules_together_hold_the_risk(spark):
+    """Forty strata where each rule would wrongly reject its own 1.5 % of good documents (7.5 % together), and forty where one rejects 0.02 %."""
+    n, names = 6000, list(quality.CUTOFFS)
+    harmless = {r: 0.0 if sign == "above" else 9.0 for r, (sign, _) in quality.CUTOFFS.items()}
+    fires = {r: cuts[0] for r, (_, cuts) in quality.CUTOFFS.items()}
+    rows = spark.range(80 * n).selectExpr("id as doc_id", f"concat('s', id div {n}) as lang", "cast(xxhash64(id) >> 11 as double) / (1L << 52) * 0.5 + 0.5 as u", f"id div {n} < 40 as risky", f"id % {n} < 100 as junk")
+    for k, r in enumerate(names):
+        risky = (F.col("u") >= 0.015 * k) & (F.col("u") < 0.015 * (k + 1)) if k else F.col("u") < 0.015
+        mild = (F.col("u") < 0.0002) & F.lit(k == 0)
+        rows = rows.withColumn(r, F.when(F.when(F.col("risky"), risky).otherwise(mild) | F.col("junk"), fires[r]).otherwise(harmless[r]))
+    rows = rows.withColumn("base_failed", F.lit(False))
+    labels = rows.select("doc_id", (~F.col("junk")).cast("int").alias("quality"))
+    chosen = {x["__stratum"]: x for x in quality.select_cutoffs(rows, labels, "doc_id", "lang").collect()}
+    assert len(chosen) == 80
+    for i in range(80):
+        used = [r for r in names if chosen[f"s{i}"][f"cut_{r}"] is not None]
+        assert not used if i < 40 else names[0] in used, i
+
+
 def naive_targets(sizes: dict, weights=(3, 1, 2)) -> dict:
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -104,6 +123,73 @@ def test_mix(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_classifier_learns_a_repeated_row_once(spark):
+    r = random.Random(6)
+    rows = [(i, prose(r) + (" scoundrel" if i % 5 == 0 else ""), "en", f"s{i % 3}", "k") for i in range(500)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(500)] + [(700 + i, None, None) for i in range(50)], "doc_id long, quality int, toxic int")
+    one, two = (classifier.learn(x, labels, "doc_id", "text", 400) for x in (df, df.unionByName(df).repartition(5)))
+    assert len(one.keys) and (one.keys == two.keys).all() and one.prior == two.prior and one.weights == pytest.approx(two.weights, abs=1e-6)
+    assert one.prior == pytest.approx(0.2, abs=0.06)
+    few = classifier.learn(df, labels, "doc_id", "text", 400, max_bytes=0)
+    assert not len(few.keys)
+
+
+def test_rates_of_sites_by_brute_force(spark):
+    """The shrunk rates and scores, computed again from each document's evidence."""
+    r = random.Random(7)
+    rows = []
+    for i in range(600):
+        source, lang = r.choice(["a", "a", "b", "c", None]), r.choice(["en", "de", None])
+        bad = r.random() < {"a": 0.05, "b": 0.6, "c": 0.2, None: 0.3}[source]
+        rows.append((i, prose(r) + (" scoundrel" if bad else ""), lang, source, "k"))
+    rows += [(900, "lone text " * 30, "xx", "alone", "k"), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int("scoundrel" in t)) for i, t, *_ in rows[:400]], "doc_id long, quality int, toxic int")
+    net = classifier.learn(df, labels, "doc_id", "text")
+    out = classifier.classify(df, labels).collect()
+    assert len(out) == len(rows)
+    base = math.log(net.prior / (1 - net.prior))
+    docs = [((x["source"],), (x["source"], x["lang"]), 1 / (1 + math.exp(-(x["evidence"] + base))), x) for x in out]
+
+    def totals(level):
+        sums: dict = {}
+        for d in docs:
+            bad, n = sums.get(d[level], (0.0, 0))
+            sums[d[level]] = (bad + d[2], n + 1)
+        return sums
+
+    def strength(groups, mean):
+        n = sum(k for _, k in groups.values())
+        spread = sum(k * (b / k - mean(g)) ** 2 for g, (b, k) in groups.items()) - sum(mean(g) * (1 - mean(g)) for g in groups)
+        within = sum(k * mean(g) * (1 - mean(g)) for g, (_, k) in groups.items()) / n
+        return min(within / (spread / n), 1e6) if spread > 0 else 1e6
+
+    hosts, paths = totals(0), totals(1)
+    rate = sum(b for b, _ in hosts.values()) / len(docs)
+    m = strength(hosts, lambda _: rate)
+    host_rate = {h: (b + m * rate) / (n + m) for (h,), (b, n) in hosts.items()}
+    m2 = strength(paths, lambda g: host_rate[g[0]])
+    for _, g, bad, x in docs:
+        b, n = paths[g]
+        prior = min(max((max(b - bad, 0) + m2 * host_rate[g[0]]) / (n - 1 + m2), 1e-6), 1 - 1e-6)
+        assert x["site_rate"] == pytest.approx(prior, rel=1e-6)
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(x["evidence"]) * prior / (1 - prior)), rel=1e-6)
+
+
+def test_a_very_long_text_is_judged_and_classified(spark):
+    r = random.Random(9)
+    long = prose(r, 200_000)
+    df = spark.createDataFrame([(1, long, "en", "s", "k"), (2, prose(r), "en", "s", "k")], DOCS)
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in quality.judge_quality(df, labels).collect()}
+    assert got[1]["n_words"] == 200_000 and got[1]["n_repeat_words"] == 0 and got[1]["kept"]
+    assert all(x["kept"] for x in classifier.classify(df, labels).collect())
+    clash = df.withColumnsRenamed({"kept": "symbol_ratio"}).withColumn("n_words", F.lit("mine"))
+    carried = quality.judge_quality(clash, labels, carry=["doc_id", "symbol_ratio", "n_words"]).collect()
+    assert {x["carried"]["n_words"] for x in carried} == {"mine"} and {x["n_words"] for x in carried} == {60, 200_000}
+
+
 def test_classifier_finds_marks_and_shrinks_sites(spark):
     r = random.Random(4)
     rows, labels = [], []

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -41,6 +42,43 @@ def test_lz_fingerprints(spark):
     assert lz.fingerprint_texts(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def plain_signature(text: str) -> str:
+    """The fingerprint from its definition: LZ78 phrases by a growing dictionary, 128 bins by the top 7 bits, 16 low bits of each bin's least hash."""
+    phrases, now = set(), ""
+    for c in text:
+        now += c
+        if now not in phrases:
+            phrases.add(now)
+            now = ""
+    bins: dict[int, int] = {}
+    for p in phrases:
+        h = xxhash.xxh64_intdigest(p.encode())
+        bins[h >> 57] = min(h, bins.get(h >> 57, h))
+    return "".join(f"{bins[i] & 0xFFFF:04x}" if i in bins else "...." for i in range(128))
+
+
+def test_lz_fingerprints_by_brute_force_however_keys_lie(spark):
+    """Unique keys, keys that hold a third of the rows, and null ones only, over several tasks."""
+    r = random.Random(4)
+    for keys in (list(range(400)), [r.choice([7, 7, i]) for i in range(400)], [None] * 400):
+        rows = [(k, "".join(r.choice("abc é") for _ in range(r.randint(0, 200))), "s") for k in keys]
+        df = spark.createDataFrame(rows, DOCS)
+        got = lz.fingerprint_texts(df.repartition(5)).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, lz.fingerprint_texts(df, buckets_per_partition=1).collect()))
+        tie = {t: h for t, h in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]]))
+        want = []
+        for (k, t, _), (_, following, _) in zip(order, [*order[1:], order[0]], strict=True):
+            third = len(t) // 3
+            edited = t[: len(t) - third] + following[:third]
+            mine, other, nxt = plain_signature(t), plain_signature(edited), plain_signature(following)
+            like = lambda a, b: (lambda used: sum(x == y for x, y in used) / len(used) if used else 1.0)([(a[i : i + 4], b[i : i + 4]) for i in range(0, 512, 4) if (a[i : i + 4], b[i : i + 4]) != ("....", "....")])
+            want.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), mine, other, like(mine, other), like(mine, nxt)))
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    spread = df.select(lz._bucket(F.col("doc_id"), F.xxhash64("text"), [], 8).alias("b")).distinct().count()
+    assert spread == 8  # null keys alone fill eight ranges
+
+
 @given(st.text(alphabet="ab ", max_size=80), st.text(alphabet="ab ", max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_lz_goes_on_from_a_shared_start(a, b):
@@ -81,6 +119,17 @@ def test_bpe_equals_the_library_on_any_text(library, texts):
         assert np.frombuffer(ids, "<u4").tolist() == enc.ids
 
 
+@pytest.mark.parametrize("least", [3, 1000])
+def test_bpe_of_long_words_equals_the_library(library, monkeypatch, least):
+    monkeypatch.setattr(bpe, "LONG", least)
+    r = random.Random(5)
+    words = ["".join(r.choice(a) for _ in range(r.randint(1, 90))) for a in ("ab", "aab", "abcdefghijklmnopqrstuvwxyz", "éa") for _ in range(100)]
+    words += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "a" * 100_001]
+    ours = bpe.WordBpe(bpe.vocabulary())
+    for (ids, _), enc in zip(ours.encode(words), library.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.ids
+
+
 def test_bpe_rows(spark, library):
     rows = [(i, t, "s") for i, t in enumerate(ODD)] + [(None, None, "s"), (1, "twice", "s"), (1, "twice", "s")]
     out = bpe.encode_texts(spark.createDataFrame(rows, DOCS), bpe.vocabulary()).collect()
@@ -128,6 +177,47 @@ def test_secret_network_and_rows(spark):
     assert df.select(F.col("spans")).columns == ["spans"]
 
 
+def test_long_texts_of_findings_equal_all_comparisons():
+    """Five megabytes of hashes and a long token of many spans take seconds; what spans leave open is found as by comparing all."""
+    r = random.Random(6)
+    net = secrets.Network.fresh(1)
+    hashes = "\n".join("".join(r.choices("0123456789abcdef", k=64)) for _ in range(77_000))
+    assert len(secrets.scan_texts([hashes], net)[0]) == 77_000
+    assert sum(s[3] == "hex" for s in secrets.scan_texts(["0123456789abcdefg" * 20_000], net)[0]) == 20_000
+    for _ in range(300):
+        spans = [(s, s + r.randint(1, 30), s, "hex") for s in (r.randint(0, 200) for _ in range(r.randint(0, 12)))]
+        run = (a := r.randint(0, 200), a + r.randint(1, 40))
+        assert list(secrets.Covered(spans).within(run)) == sorted((s, e) for s, e, *_ in spans if s < run[1] and run[0] < e)
+
+
+def test_the_embedding_is_learnt():
+    made = secrets.made_findings(16, 5)
+    x, y = np.stack([secrets.encode(t, secrets.one_window(t, s)) for t, s, _ in made]), np.array([g for *_, g in made], np.float64)
+    net = secrets.Network.fresh(2)
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    loss = lambda: float(np.mean(np.logaddexp(0, z := net.forward(x)[0]) - y * z))
+    slope = net.gradients(x, y)["embed"]
+    assert (slope[:, : secrets.CHANNELS] == 0).all()
+    code = int(x[0, secrets.LEFT])
+    for channel in (secrets.CHANNELS, secrets.CHANNELS + 3):
+        at = []
+        for e in (1e-5, -2e-5):
+            net.weights["embed"][code, channel] += e
+            at.append(loss())
+        net.weights["embed"][code, channel] += 1e-5
+        assert (at[0] - at[1]) / 2e-5 == pytest.approx(slope[code, channel], rel=1e-3, abs=1e-7)
+
+
+def test_recall_on_held_out_findings_that_no_rule_knows(spark):
+    """The threshold is constrained on findings outside the rules; measured here on fresh ones."""
+    made = [(t, s, g) for t, s, g in secrets.made_findings(3000, 91) if not any(secrets.Covered(secrets.base_spans(t)).within(s))]
+    df = spark.createDataFrame([(i, f"calm words {i}", "s") for i in range(20)], DOCS)
+    net = secrets.learn(df)
+    p = net.probability(np.stack([secrets.encode(t, secrets.one_window(t, s)) for t, s, _ in made]))
+    y = np.array([g for *_, g in made]) == 1
+    assert y.sum() > 500 and (p[y] >= net.threshold).mean() > 0.95 and (p[~y] >= net.threshold).mean() < 0.03
+
+
 def test_a_key_at_the_end_of_a_long_run_is_found(spark):
     key = "ghp_AbC9xK2mQ7vR4tY8wZ1nP5sL3dF6hJ0uE"
     runs = ["config.production.database.credentials.key=" + key, "srv/data/projects/archive/reports/quarterly/2021/" + key, "/".join(["part", "of", "a", "long", "way", "7"] * 30) + "/" + key + "/and/on/to/the/end/of/it"]

@@ -20,13 +20,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the risk-controlled cutoffs."""
-    return judge_quality(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(*COLUMNS)
+    """Documents that pass the base rules and the risk-controlled cutoffs.
+
+    A null or empty text fails the base rules; very long ones are read whole; a null language is a stratum of its
+    own; repeated rows stay or go each; more columns than those of documents are dropped; no rows give no rows.
+    """
+    return judge_quality(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select("carried.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of linked fingerprints; of groups without any doc_id, one document.
 
+    Null and empty texts are one group; of repeated rows one stays; very long texts are read whole; no rows give no rows.
     Rows meet on doc_id and a hash of the text, null being a value, and equal rows are numbered on the same
     key, so texts are shuffled once. (No field of the key may be nullable on one side alone: a cast would
     come between, and the numbering would shuffle again.)
@@ -39,7 +44,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its secrets redacted; n_chars follows the text."""
+    """Every document with its secrets redacted; n_chars follows the text.
+
+    Null and empty texts stay as they are; very long ones are scanned whole; repeated rows are scanned each; no
+    rows give no rows.
+    """
     net = secrets.learn(docs.select("doc_id", "text"))
     out = secrets.scan_secrets(docs.select(*COLUMNS), net)
     n_chars = F.when(F.size("spans") > 0, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
@@ -47,13 +56,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Documents without words (null texts too) are taken no times; a null source is a source of its own; ties and
+    repeated rows are told apart by their number; no rows give no rows.
+    """
     mixed = mix_sources(docs, carry=COLUMNS).where("copies > 0")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and digests of each copy."""
+    """doc_id, n_tokens, ids and digests of each copy; null and empty texts have no tokens; no rows give no rows."""
     return bpe.encode_texts(docs, bpe.vocabulary()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

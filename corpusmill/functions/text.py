@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for a missing value.
 PLACEHOLDER = r"^(nan|n/?a|null|none|<none>|not reported|unknown|undefined|missing|-+|/+|\?+|-99|-9999|999|9999)$"
+#: Characters that a plain file name can't have.
+PLAIN = r"[^A-Za-z0-9\-_ ËéèêëôöûüàâäîïçÏ]"
 #: File names that some systems reserve.
 RESERVED = ["CON", "PRN", "AUX", "NUL", *[f"COM{i}" for i in range(1, 10)], *[f"LPT{i}" for i in range(1, 10)]]
 #: Media types whose extension is settled.
@@ -38,7 +40,7 @@ def safe_filename(c: Column) -> Column:
 
 def plain_filename(c: Column) -> Column:
     """letters, digits, ``-_``, space and some accented letters only; then white space and dots cut off."""
-    s = F.regexp_replace(c, r"[^A-Za-z0-9\-_ ËéèêëôöûüàâäîïçÏ]", "_")
+    s = F.regexp_replace(c, PLAIN, "_")
     s = F.regexp_replace(strip(s), r"^\.+|\.+$", "")
     return F.when(s == "", "untitled").otherwise(s)
 

@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import is_placeholder, strip
+from corpusmill.functions.text import PLACEHOLDER, is_placeholder, strip
 
+_MISSING = re.compile(PLACEHOLDER)
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 #: Words for true and false.
 TRUE, FALSE = ("y", "yes", "t", "true", "1", "on"), ("n", "no", "f", "false", "0", "off")
@@ -64,23 +65,58 @@ def literal_to_json(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-def prune_items(c: Column, protected: tuple[str, ...] = ()) -> Column:
-    """G5 for arrays: missing items are null but keep their places; an array of none else is null."""
-    cleaned = F.transform(c, lambda x: F.when(~is_placeholder(x, protected), x))
-    return F.when(F.forall(cleaned, lambda x: x.isNull()), None).otherwise(cleaned)
+@F.pandas_udf(T.StringType())
+def pruned_literal(values: pd.Series) -> pd.Series:
+    """A Python literal as JSON without its missing values, at any depth (a number among them counts by its text); null where it isn't a literal or nothing is left."""
+
+    def prune(v):
+        if isinstance(v, (set, frozenset)):
+            v = sorted(v, key=repr)
+        if isinstance(v, (list, tuple)):
+            items = [prune(x) for x in v]
+            return items if any(x is not None for x in items) else None
+        if isinstance(v, dict):
+            return {k: x for k, x in ((k, prune(x)) for k, x in v.items()) if x is not None} or None
+        return None if v is None or not str(v).strip() or _MISSING.match(str(v).strip().lower()) else v
+
+    def one(v: str | None) -> str | None:
+        try:
+            found = prune(ast.literal_eval(v))
+            return None if found is None else json.dumps(found, default=str, ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return values.map(one)
 
 
-def prune_keys(c: Column) -> Column:
-    """G5 for maps: keys of missing values go; a map without keys is null."""
-    kept = F.map_filter(c, lambda _, v: ~is_placeholder(v))
-    return F.when(F.size(kept) > 0, kept)
+def prune(c: Column, kind: T.DataType, protected: tuple[str, ...] = ()) -> Column:
+    """G5 at any depth: missing items of an array are null but keep their places, keys of missing values leave a map, missing fields of a struct are null; what then has nothing left is null."""
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(c, lambda x: prune(x, kind.elementType, protected))
+        return F.when(F.exists(items, lambda x: x.isNotNull()), items)
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(F.transform_values(c, lambda _, v: prune(v, kind.valueType, protected)), lambda _, v: v.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    if isinstance(kind, T.StructType):
+        fields = [prune(c.getField(f.name), f.dataType, protected).alias(f.name) for f in kind]
+        return F.when(reduce(lambda a, b: a | b, [f.isNotNull() for f in fields], F.lit(False)), F.struct(*fields)) if fields else c
+    return F.when(~is_placeholder(c, protected), c)
+
+
+TEXTS, PAIRS = T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
 
 
 # -- schema ---------------------------------------------------------------------------------------
 
 
-def enforce_column(df: DataFrame, name: str, kind: str, protected: tuple[str, ...] = ()) -> Column:
-    """The column under a type name of the schema language; what doesn't fit is null."""
+def bracketed(df: DataFrame, names: list[str]) -> set[str]:
+    """Text columns with a value that may be a literal (from a bracket on), in one aggregate; only these go through Python."""
+    text = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
+    return set(_chosen(df, {c: F.coalesce(F.max(F.col(c).rlike(r"(?U)^\s*[\[{]")), F.lit(False)) for c in text})) if text else set()
+
+
+def enforce_column(df: DataFrame, name: str, kind: str, protected: tuple[str, ...] = (), literals: bool = True) -> Column:
+    """The column under a type name of the schema language; what doesn't fit is null. ``literals``: whether any value begins with a bracket."""
     c, given = F.col(name), df.schema[name].dataType
     if kind == "bool":
         low = F.lower(strip(c.cast("string")))
@@ -96,14 +132,17 @@ def enforce_column(df: DataFrame, name: str, kind: str, protected: tuple[str, ..
         return c if isinstance(given, (T.TimestampType, T.DateType)) else F.try_to_timestamp(strip(c.cast("string")))
     if kind == "list":
         if isinstance(given, T.ArrayType):
-            return prune_items(c.cast("array<string>"), ())
-        as_list = F.from_json(literal_to_json(F.when(F.startswith(strip(c.cast("string")), F.lit("[")), strip(c.cast("string")))), "array<string>")
-        return F.when(is_placeholder(c, protected), None).otherwise(F.coalesce(prune_items(as_list), F.when(~F.startswith(strip(c.cast("string")), F.lit("[")), F.array(strip(c.cast("string"))))))
+            flat = isinstance(given.elementType, T.AtomicType)
+            return prune(c.cast("array<string>"), TEXTS) if flat else prune(c, given)
+        as_list = F.from_json(pruned_literal(F.when(F.startswith(strip(c.cast("string")), F.lit("[")), strip(c.cast("string")))), "array<string>") if literals else F.lit(None).cast("array<string>")
+        return F.when(is_placeholder(c, protected), None).otherwise(F.coalesce(prune(as_list, TEXTS), F.when(~F.startswith(strip(c.cast("string")), F.lit("[")), F.array(strip(c.cast("string"))))))
     if kind == "dict":
         if isinstance(given, T.StructType):
-            return c
-        as_map = c.cast("map<string,string>") if isinstance(given, T.MapType) else F.from_json(literal_to_json(F.when(F.startswith(strip(c.cast("string")), F.lit("{")), strip(c.cast("string")))), "map<string,string>")
-        return prune_keys(as_map)
+            return prune(c, given)
+        if isinstance(given, T.MapType):
+            return prune(c.cast("map<string,string>"), PAIRS) if isinstance(given.valueType, T.AtomicType) else prune(c, given)
+        as_map = F.from_json(pruned_literal(F.when(F.startswith(strip(c.cast("string")), F.lit("{")), strip(c.cast("string")))), "map<string,string>") if literals else F.lit(None).cast("map<string,string>")
+        return prune(as_map, PAIRS)
     if kind != "string":
         raise ValueError(f"no type {kind}; known: {TYPES}")
     if isinstance(given, T.ArrayType):
@@ -113,6 +152,8 @@ def enforce_column(df: DataFrame, name: str, kind: str, protected: tuple[str, ..
     text = strip(c.cast("string"))
     if not isinstance(given, T.StringType):
         return F.when(~is_placeholder(c, protected), text)
+    if not literals:
+        return F.when(~is_placeholder(c, protected), text)
     boxed = F.from_json(literal_to_json(F.when(text.rlike(r"^[\[{]"), text)), "array<string>")
     first = F.get(F.filter(boxed, lambda x: ~is_placeholder(x, protected)), F.lit(0))
     opened = F.when(text.rlike(r"^\["), F.when(boxed.isNotNull(), first).otherwise(text)).otherwise(text)
@@ -121,17 +162,17 @@ def enforce_column(df: DataFrame, name: str, kind: str, protected: tuple[str, ..
 
 def enforce_schema(df: DataFrame, schema: dict[str, str], protected: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One select that puts each named column under its type; names that aren't there are skipped, others stay."""
-    protected = protected or {}
-    return df.select(*[enforce_column(df, c, schema[c], protected.get(c, ())).alias(c) if c in schema else F.col(c) for c in df.columns])
+    protected, open_ = protected or {}, bracketed(df, [c for c in df.columns if schema.get(c) in ("string", "list", "dict")])
+    return df.select(*[enforce_column(df, c, schema[c], protected.get(c, ()), c in open_).alias(c) if c in schema else F.col(c) for c in df.columns])
 
 
 def enforce_report(df: DataFrame, schema: dict[str, str], protected: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Per column the values lost in all, as placeholders and as mismatches; columns that lose none are left out."""
     protected = protected or {}
     names = [c for c in df.columns if c in schema]
-    sums = []
+    open_, sums = bracketed(df, names), []
     for c in names:
-        before, after = F.col(c).isNotNull(), enforce_column(df, c, schema[c], protected.get(c, ())).isNotNull()
+        before, after = F.col(c).isNotNull(), enforce_column(df, c, schema[c], protected.get(c, ()), c in open_).isNotNull()
         sums += [(F.sum(before.cast("long")) - F.sum(after.cast("long"))).alias(f"t_{c}"), F.sum((before & is_placeholder(F.col(c), protected.get(c, ()))).cast("long")).alias(f"p_{c}")]
     fields = {c: [F.col(f"t_{c}"), F.least(F.col(f"p_{c}"), F.col(f"t_{c}")), F.greatest(F.lit(0), F.col(f"t_{c}") - F.col(f"p_{c}"))] for c in names}
     return unpivot(df.agg(*sums), fields, ["total", "placeholders", "mismatch"], ["long"] * 3).where("total > 0")
@@ -167,7 +208,7 @@ def resolve_mixed(df: DataFrame, columns: list[str], policy: dict[str, str] | No
 
 
 def infer_schema(df: DataFrame) -> DataFrame:
-    """(column, type) by the native type, for strings by what all present values read as, in one aggregate."""
+    """(column, type) by the native type, for strings by what all present values read as, in one aggregate. Words for true and false only make a column boolean if it has at most ten distinct values in lower case, placeholders among them."""
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     sums = [F.lit(0).alias("__none")]
     for c in text:
@@ -176,7 +217,7 @@ def infer_schema(df: DataFrame) -> DataFrame:
         every = lambda p: F.coalesce(F.min(p.cast("int")), F.lit(0))
         sums += [
             every(F.when(v.isNotNull(), v.try_cast("double").isNotNull())).alias(f"n_{c}"),
-            every(F.when(v.isNotNull(), low.isin(*TRUE, *FALSE))).alias(f"b_{c}"),
+            F.when(F.size(F.collect_set(F.when(low.isin(*TRUE, *FALSE), low))) + F.approx_count_distinct(F.when(is_placeholder(F.col(c)), F.lower(F.col(c))), 0.02) <= 10, every(F.when(v.isNotNull(), low.isin(*TRUE, *FALSE)))).otherwise(0).alias(f"b_{c}"),
             every(F.when(v.isNotNull(), F.try_to_timestamp(v).isNotNull())).alias(f"d_{c}"),
             every(F.when(v.isNotNull(), v.rlike(r"(?s)^\[.*\]$"))).alias(f"l_{c}"),
             every(F.when(v.isNotNull(), v.rlike(r"(?s)^\{.*\}$"))).alias(f"m_{c}"),
@@ -241,12 +282,39 @@ def drop_missing_columns(df: DataFrame, threshold: float = 0.95, keep: tuple[str
 
 
 def cap_outliers(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Winsorise to exact quantiles; nulls stay."""
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
+    """Winsorise to exact quantiles (linear between two values); nulls stay."""
+    bounds = {c: quantiles(df.select(F.col(c).cast("double").alias("x")).where("x IS NOT NULL"), [low, high]) for c in columns}
     capped = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(bounds[c][0])), F.lit(bounds[c][1])))
     return df.withColumns({c: capped(c) for c in columns if bounds[c] is not None})
 
 
+def quantiles(df: DataFrame, shares: list[float], leaf: int = 100_000, bins: int = 1000) -> list[float] | None:
+    """Exact quantiles of the column x: counts by range narrow down to ``leaf`` rows or one value about each rank, so that no task gets all values."""
+    n = df.count()
+
+    def ranked(k: int) -> float:
+        inside, lo, hi, before = df, None, None, 0
+        while True:
+            lo, hi, size = inside.agg(F.min("x"), F.max("x"), F.count("*")).first()
+            if lo == hi:
+                return lo
+            if size <= leaf:
+                return inside.orderBy("x").limit(k - before + 1).agg(F.max("x")).first()[0]
+            place = F.least(F.floor((F.col("x") - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+            for r in sorted(inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
+                if k < before + r["n"]:
+                    inside = inside.where(F.col("x").between(r["lo"], r["hi"]))
+                    break
+                before += r["n"]
+
+    out = []
+    for share in shares if n else ():
+        at = share * (n - 1)
+        low = ranked(int(at))
+        out.append(low + (at - int(at)) * (ranked(int(at) + 1) - low) if at > int(at) else low)
+    return out or None
+
+
 def completeness(df: DataFrame) -> Column:
     """P25: values that aren't null."""
     return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in df.columns])

@@ -110,6 +110,13 @@ class Detector:
         return spark.createDataFrame(rows, "term string, weight double, side string")
 
 
+def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """M5: (label, prediction, n) of all four cells, those without rows 0."""
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("prediction"), F.col(f"n{a}{b}").alias("n")) for a in (0, 1) for b in (0, 1)]))
+    sums = [F.count_if((F.col(label) == a) & (F.col(prediction) == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)]
+    return df.agg(*sums).select(cells.alias("c")).select("c.*")
+
+
 def report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """M5: (label, precision, recall, f1, support) from the confusion counts, in one aggregate."""
     cells = df.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count("*").alias("n"))

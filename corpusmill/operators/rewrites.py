@@ -99,10 +99,19 @@ def stitch(sentences: Column, tagged: Column, found: Column) -> Column:
     return F.array_join(F.transform(sentences, lambda s, i: F.when(F.array_contains(order, i), strip(F.get(found, (F.array_position(order, i) - 1).cast("int")))).otherwise(s)), " ")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is found once: inside another lambda an expression would be found again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def validate(sentences: Column, tagged: Column, reply: Column) -> Column:
     """(reason, stitched): empty, tag_count, empty_target, unchanged_target or success."""
-    found = targets(reply)
-    order = F.array_sort(tagged)
+    given = F.struct(sentences.alias("sentences"), F.array_sort(tagged).alias("tagged"), reply.alias("reply"), targets(reply).alias("found"))
+    return bound(given, lambda g: _judged(g["sentences"], g["tagged"], g["reply"], g["found"]))
+
+
+def _judged(sentences: Column, tagged: Column, reply: Column, found: Column) -> Column:
+    order = tagged
     pair = F.transform(order, lambda i: F.struct(F.get(sentences, i).alias("was"), F.get(found, (F.array_position(order, i) - 1).cast("int")).alias("now")))
     bad = F.filter(F.transform(pair, lambda p: F.when(strip(p["now"]) == "", "empty_target").when(normalize_text(p["now"]) == normalize_text(p["was"]), "unchanged_target")), lambda r: r.isNotNull())
     reason = F.when(F.coalesce(reply, F.lit("")) == "", "empty").when(F.size(found) != F.size(tagged), "tag_count").when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise("success")

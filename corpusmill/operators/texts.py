@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -54,8 +55,8 @@ def merged_sentences(text: Column) -> Column:
 
 def vote_language(text: Column) -> Column:
     """The language with most common words in the text, the first in order of equals; null without any."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda t: t != "")
-    score = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words)))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    score = lambda words: F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(sorted(words))})(?!\p{{L}})"))
     best = F.array_max(F.array(*[F.struct(score(w).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("lang")) for i, (code, w) in enumerate(STOP_WORDS.items())]))
     return F.when(best["n"] > 0, best["lang"])
 
@@ -63,14 +64,16 @@ def vote_language(text: Column) -> Column:
 class Trigrams:
     """Ranked character trigrams by language; a text goes to the language of least out-of-place distance (published method of n-gram text categorisation)."""
 
-    def __init__(self, samples: dict[str, str], size: int = 300) -> None:
-        self.size = size
-        self.ranks = {code: self.profile(text) for code, text in sorted(samples.items())}
+    def __init__(self, ranks: dict[str, dict[str, int]], size: int = 300) -> None:
+        self.size, self.ranks = size, ranks
 
-    def profile(self, text: str) -> dict[str, int]:
+    @staticmethod
+    def counts(text: str) -> Counter[str]:
         flat = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
-        counts = Counter(flat[i : i + 3] for i in range(len(flat) - 2))
-        ordered = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: self.size]
+        return Counter(flat[i : i + 3] for i in range(len(flat) - 2))
+
+    def profile(self, text: str) -> dict[str, int]:
+        ordered = sorted(self.counts(text).items(), key=lambda x: (-x[1], x[0]))[: self.size]
         return {g: i for i, (g, _) in enumerate(ordered)}
 
     def detect(self, text: str | None) -> str | None:
@@ -88,12 +91,24 @@ class Trigrams:
         return run(text)
 
 
-def learn_trigrams(df: DataFrame, text: str, lang: str, key: str, per_language: int = 50) -> Trigrams:
-    """Profiles from at most ``per_language`` texts of each language, chosen by a hash of the key."""
-    order = W.partitionBy(lang).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    rows = df.select(lang, key, F.col(text).alias("t")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
-    joined = rows.groupBy(lang).agg(F.concat_ws(" ", F.sort_array(F.collect_list("t"))).alias("t")).where(F.col(lang).isNotNull()).collect()
-    return Trigrams({r[0]: r[1] for r in joined})
+def learn_trigrams(df: DataFrame, text: str, lang: str, size: int = 300) -> Trigrams:
+    """Profiles of each language from all its texts: a batch is counted in Python, sums meet by trigram, and ``size`` trigrams a language come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[str, Counter[str]] = {}
+            for code, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums.setdefault(code, Counter()).update(Trigrams.counts(t))
+            rows = [(code, g, n) for code, c in sums.items() for g, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+
+    counted = df.select(F.col(lang).alias("lang"), F.col(text).alias("t")).dropna().mapInArrow(run, "lang string, gram string, n long")
+    best = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("__k", F.row_number().over(best)).where(F.col("__k") <= size)
+    ranks: dict[str, dict[str, int]] = {}
+    for r in top.orderBy("lang", "__k").collect():
+        ranks.setdefault(r["lang"], {})[r["gram"]] = r["__k"] - 1
+    return Trigrams(ranks, size)
 
 
 def select_texts(df: DataFrame, text: str, lang: str, wanted: str, least: int = 100) -> DataFrame:
@@ -130,11 +145,16 @@ def bag_bound(a: Column, b: Column) -> Column:
     return F.aggregate(F.map_entries(a), F.lit(0), lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
 
 
+#: Parts that a class of titles is cut into.
+SALTS = 8
+
+
 def fuzzy_pairs(titles: DataFrame, title: str, threshold: float = 60.0, limit: int = 5) -> DataFrame:
     """(t1, t2, score) of distinct titles among each other's ``limit`` best by F17 (the title itself counted, ties by text), at ``threshold`` or more.
 
     Titles meet by length class, equal or neighbouring, so that none meets those whose length alone rules a
     match out; pairs whose bags of characters do so are dropped next. What is left is scored in Arrow batches.
+    One side of a class is cut by hash into ``SALTS`` parts and the other goes to each, so no class is one task.
     """
     t = titles.select(F.col(title).alias("t")).where(F.col(title).isNotNull()).distinct()
     t = t.withColumn("s", sorted_tokens(F.col("t"))).withColumn("n", F.length("s"))
@@ -143,9 +163,10 @@ def fuzzy_pairs(titles: DataFrame, title: str, threshold: float = 60.0, limit: i
     t = t.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(ratio)).cast("int"))
     letters = F.split("s", "")
     t = t.withColumn("bag", F.map_from_entries(F.transform(F.array_distinct(letters), lambda c: F.struct(c, F.size(F.filter(letters, lambda x: x == c))))))
-    left = t.select("t", "s", "n", "bag", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
-    right = t.select(F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("bag").alias("bag2"), "c")
-    near = left.join(right, "c").where(200 * F.least("n", "n2") >= threshold * (F.col("n") + F.col("n2")))
+    part = F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")
+    left = t.select("t", "s", "n", "bag", part.alias("part"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
+    right = t.select(F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("bag").alias("bag2"), "c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    near = left.join(right, ["c", "part"]).where(200 * F.least("n", "n2") >= threshold * (F.col("n") + F.col("n2")))
     near = near.where(200 * bag_bound(F.col("bag"), F.col("bag2")) >= threshold * (F.col("n") + F.col("n2")))
     scored = near.withColumn("score", similarity("s", "s2")).where(F.col("score") >= threshold)
     best = W.partitionBy("t").orderBy(F.desc("score"), "t2")
@@ -185,21 +206,21 @@ def resolve_fuzzy(df: DataFrame, title: str, author: str, key: str, title_thresh
     return sure.join(groups.withColumnRenamed("node", "a"), "a").groupBy("root").applyInArrow(run, f"removed {kind}, kept {kind}")
 
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) of nodes with an edge (a, b): least labels spread and double back over each other until none changes."""
-    from corpusmill.sources.session import materialize
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of nodes with an edge (a, b): least labels spread and double back over each other until none changes, however many rounds that takes."""
+    from corpusmill.sources.session import discard, materialize
 
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("r"))
         up = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved"))
         jump = up.alias("x").join(up.alias("y"), F.col("x.root") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.least("x.root", F.coalesce("y.root", "x.root")).alias("root"), (F.col("x.moved") | F.coalesce(F.col("y.root") < F.col("x.root"), F.lit(False))).alias("moved"))
-        jump = materialize(jump)
-        labels = jump.select("node", "root")
-        if not jump.where("moved").limit(1).count():
-            break
-    return labels
+        now = materialize(jump)
+        discard(labels)
+        labels = now
+        if not now.where("moved").limit(1).count():
+            return now.select("node", "root")
 
 
 def repeated_authors(df: DataFrame, author: str, handled: DataFrame, key: str) -> DataFrame:

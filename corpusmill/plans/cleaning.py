@@ -215,7 +215,20 @@ SELECT conv_id, CASE WHEN len(list_filter(items, lambda x: x IS NOT NULL)) > 0 T
 def prune_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.expr("CASE WHEN turn % 3 = 0 THEN 'n/a' WHEN turn % 3 = 1 THEN role END").alias("v")).alias("s"))
     g = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["v"]).alias("items"))
-    return g.select("conv_id", C.prune_items(F.col("items")).alias("items"))
+    return g.select("conv_id", C.prune(F.col("items"), C.TEXTS).alias("items"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 'n/a' ELSE text END AS t FROM conversations),
+i AS (SELECT conv_id, turn, role, CASE WHEN NOT {bad('role')} THEN role END AS r, CASE WHEN NOT {bad('t')} THEN t END AS t FROM c),
+g AS (SELECT conv_id, list(CASE WHEN r IS NOT NULL OR t IS NOT NULL THEN coalesce(r, '-') || '|' || coalesce(md5(t), '-') END ORDER BY turn, role) AS items FROM i GROUP BY conv_id)
+SELECT conv_id, items FROM g""")
+def prune_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumn("t", F.expr("CASE WHEN turn % 2 = 0 THEN 'n/a' ELSE text END"))
+    inner = lambda x: F.struct(x["role"].alias("r"), F.struct(F.array(x["t"], F.lit("--")).alias("texts"), F.create_map(F.lit("a"), F.lit("unknown")).alias("m")).alias("more"))
+    g = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "t"))), inner).alias("items"))
+    pruned = g.select("conv_id", C.prune(F.col("items"), g.schema["items"].dataType).alias("items"))
+    flat = F.transform("items", lambda x: F.when(x.isNotNull(), F.concat_ws("|", F.coalesce(x["r"], F.lit("-")), F.coalesce(F.md5(x["more"]["texts"][0].cast("binary")), F.lit("-")))))
+    return pruned.select("conv_id", flat.alias("items"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 < 3 THEN [n_name, CAST(n_regionkey AS VARCHAR)] END AS items FROM nation")

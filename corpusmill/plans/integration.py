@@ -231,15 +231,15 @@ def roundtrip_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zipped(spark: SparkSession, sf_dir: str) -> str:
-    """All documents zipped by shard into the shared folder, which must be mounted; returns that folder."""
-    from urllib.parse import urlparse
-
+    """All documents zipped by shard into the shared folder; returns that folder."""
     from corpusmill.sources.archives import pack_zips
 
-    folder = urlparse(scratch_path(spark)).path
-    d = docs(spark, sf_dir).select(shard_of(F.col("doc_id"), 16).alias("shard"), F.concat(F.lit("in/"), "doc_id", F.lit(".md")).alias("name"), F.col("text").cast("binary").alias("content"))
+    folder = scratch_path(spark)
+    # A shard of some 4,000 documents fits a task; their number follows the table's.
+    d = docs(spark, sf_dir)
+    d = d.select(shard_of(F.col("doc_id"), max(16, d.count() // 4000)).alias("shard"), F.concat(F.lit("in/"), "doc_id", F.lit(".md")).alias("name"), F.col("text").cast("binary").alias("content"))
     pack_zips(d, folder).collect()
-    return "file://" + folder
+    return folder
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS stem, 'md' AS ext FROM documents")

@@ -45,7 +45,7 @@ def lang_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lang_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = X.learn_trigrams(docs(spark, sf_dir), "text", "lang", "doc_id")
+    net = X.learn_trigrams(docs(spark, sf_dir), "text", "lang")
     return docs(spark, sf_dir).select("doc_id", "lang", net.column(F.col("text")).alias("found"))
 
 
@@ -60,12 +60,13 @@ def select_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation texts as short articles with their sentences."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    """Conversations, all their turns in order, as short articles with their sentences."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), " ").alias("text"))
     return c.withColumn("sents", X.merged_sentences(F.col("text")))
 
 
-BRIEF = SENTENCES.replace("doc_id, lang, source, text", "conv_id, text").replace("FROM documents)", "FROM (SELECT conv_id, min_by(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id))")
+BRIEF = SENTENCES.replace("doc_id, lang, source, text", "conv_id, text").replace("FROM documents)", "FROM (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn, role, text), '') AS text FROM conversations GROUP BY conv_id))")
 TAGGED = "list_sort(list_transform(list_sort(list_transform(range(0, len(sents)), lambda i: md5(conv_id || '|' || p || '|' || i) || '|' || i))[1:greatest(1, CAST(round_even(len(sents) * (p / 100.0), 0) AS BIGINT))], lambda h: CAST(string_split(h, '|')[2] AS INTEGER)))"
 TAGGED_TEXT = "array_to_string(list_transform(sents, lambda s, i: CASE WHEN list_contains(tagged, i - 1) THEN '<target>' || s || '</target>' ELSE s END), ' ')"
 PENDING = f"""b AS (SELECT * FROM {BRIEF} WHERE len(sents) > 0), m AS (SELECT * FROM (VALUES ('alpha'), ('beta')) t(model)),
@@ -276,12 +277,12 @@ def outline_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short texts with two stub rewrites, some blank or failed."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), "text")
+    """The texts of all turns with two stub rewrites, some blank or failed."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text")
     return c.select("id", "text", F.expr("CASE WHEN id % 5 = 0 THEN 'FAILED_VALIDATION' ELSE concat('As noted, ', lower(text)) END").alias("alpha"), F.expr("CASE WHEN id % 4 = 0 THEN ' ' ELSE concat(text, ' In sum, so it is.') END").alias("beta"))
 
 
-LONG = "(SELECT conv_id AS abstract_id, text, 0 AS label FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, 'As noted, ' || lower(text), 1 FROM conversations WHERE turn = 0 AND conv_id % 5 <> 0 UNION ALL SELECT conv_id, text || ' In sum, so it is.', 1 FROM conversations WHERE turn = 0 AND conv_id % 4 <> 0)"
+LONG = "(SELECT conv_id AS abstract_id, text, 0 AS label FROM conversations UNION ALL SELECT conv_id, 'As noted, ' || lower(text), 1 FROM conversations WHERE conv_id % 5 <> 0 UNION ALL SELECT conv_id, text || ' In sum, so it is.', 1 FROM conversations WHERE conv_id % 4 <> 0)"
 
 
 @query(f"SELECT abstract_id, label, md5(text) AS digest FROM {LONG}")
@@ -322,6 +323,12 @@ def svm_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.report(scored).crossJoin(F.broadcast(D.auc(scored, "score", "label")))
 
 
+@query("SELECT CAST(a AS INTEGER) AS label, CAST(b AS INTEGER) AS prediction, (SELECT count(*) FROM labels WHERE quality = a AND CAST((doc_id * 37) % 101 > 50 AS INTEGER) = b) AS n FROM range(2) x(a), range(2) y(b)")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), ((F.col("doc_id") * 37) % 101 > 50).cast("int").alias("prediction"))
+    return D.confusion(said)
+
+
 @query()
 def top_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.Detector().fit(rated(spark, sf_dir)).strongest(spark, sides=("quality 0", "quality 1"))
@@ -334,7 +341,7 @@ def auc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.auc(s, "score", "label").withColumn("auc", F.round("auc", 9))
 
 
-@query("SELECT label, count(*) AS n FROM (SELECT 0 AS label FROM conversations WHERE turn = 0 UNION ALL SELECT 1 FROM conversations WHERE turn = 0) GROUP BY label")
+@query("SELECT label, count(*) AS n FROM (SELECT 0 AS label FROM conversations UNION ALL SELECT 1 FROM conversations) GROUP BY label")
 def human_machine_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
     both = D.mix_labels(rows.select(F.col("id").alias("source_id"), "text"), rows.select(F.col("id").alias("source_id"), F.col("alpha").alias("text")), "source_id")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,24 +65,26 @@ def list_folders(spark: SparkSession, path: str) -> DataFrame:
 def pack_zips(members: DataFrame, folder: str, shard: str = "shard") -> DataFrame:
     """Write (``shard``, name, content) rows as one zip per shard into a shared folder (K5, K7, K8); returns (shard, files, bytes).
 
-    Names are flattened to their last part; of equal names in a shard the first in order is kept. Each archive is
-    built beside its place and renamed, so a retried task leaves a whole one. A shard must fit a task's memory.
+    Names are flattened to their last part; of equal names in a shard the first in order is kept. ``folder`` is a
+    path or a URI of any file system that Arrow knows. Each archive is built beside its place and moved there, so
+    a retried task leaves a whole one. A shard must fit a task's memory.
     """
-    import os
 
     def build(group: pa.Table) -> pa.Table:
         key = group.column(shard)[0].as_py()
         rows = sorted(zip((n.rsplit("/", 1)[-1] for n in group.column("name").to_pylist()), group.column("content").to_pylist(), strict=True))
-        target, seen, size = os.path.join(folder, f"{key}.zip"), set(), 0
-        os.makedirs(folder, exist_ok=True)
-        with zipfile.ZipFile(f"{target}.{os.getpid()}", "w", zipfile.ZIP_DEFLATED) as z:
+        files, place = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        target, seen, size = f"{place.rstrip('/')}/{key}.zip", set(), 0
+        files.create_dir(place, recursive=True)
+        beside = f"{target}.{uuid.uuid4().hex}"
+        with files.open_output_stream(beside) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for name, content in rows:
                 if name in seen or content is None:
                     continue
                 seen.add(name)
                 size += len(content)
                 z.writestr(zipfile.ZipInfo(name), content)
-        os.replace(f"{target}.{os.getpid()}", target)
+        files.move(beside, target)
         return pa.table({"shard": [str(key)], "files": [len(seen)], "bytes": [size]})
 
     return members.select(shard, "name", "content").groupBy(shard).applyInArrow(build, "shard string, files long, bytes long")

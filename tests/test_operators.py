@@ -196,3 +196,67 @@ def test_detector_queries_take_every_labelled_document_and_ngram(spark, tmp_path
     assert [r["side"] for r in top] == ["quality 0"] * 10 + ["quality 1"] * 10
     want = {t[i : i + n] for t in texts.values() for n in (3, 4, 5) for i in range(len(t) - n + 1)}
     assert len(want) > 5000 and set(fitted[0].counter.vocabulary) == want
+
+
+def test_pruning_goes_down(spark):
+    df = spark.createDataFrame([(["a", "n/a", None], {"k": ["-"], "m": ["x", " "]}, (("?", ["nan", "z"]), None))], "a array<string>, m map<string,array<string>>, s struct<i:struct<t:string,u:array<string>>,e:string>")
+    got = df.select(*[C.prune(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert got["a"] == ["a", None, None] and got["m"] == {"m": ["x", None]} and got["s"]["i"]["u"] == [None, "z"] and got["s"]["i"]["t"] is None
+    empty = df.limit(1).select(F.expr("array('n/a', null)").alias("a"), F.expr("map('k', array('-'))").alias("m"), F.expr("named_struct('i', '--')").alias("s"))
+    assert tuple(empty.select(*[C.prune(F.col(f.name), f.dataType).alias(f.name) for f in empty.schema]).first()) == (None, None, None)
+    text = spark.createDataFrame([("{'a': ['n/a', {'b': None}], 'c': [1, 'n/a'], 'd': 999}",), ("[['x', '-'], ['--']]",)], "t string")
+    found = [r[0] for r in text.select(C.pruned_literal("t")).collect()]
+    assert found == ['{"c": [1, null]}', '[["x", null], null]']
+
+
+def test_quantiles_by_counting(spark):
+    r = random.Random(3)
+    for values in ([r.gauss(0, 1) for _ in range(3000)], [5.0] * 2000 + [r.random() * 1e9 for _ in range(200)], [1.0], [2.0, 4.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        want = df.agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))).first()[0]
+        assert C.quantiles(df, [0.05, 0.5, 0.95], leaf=50, bins=10) == pytest.approx(want)
+    assert C.quantiles(spark.createDataFrame([], "x double"), [0.5]) is None
+    capped = C.cap_outliers(spark.createDataFrame([(None,), (1.0,), (100.0,)], "x double"), ["x"]).collect()
+    assert sorted(x[0] for x in capped if x[0] is not None) == pytest.approx([5.95, 95.05])
+
+
+def test_boolean_words_need_few_values(spark):
+    words = ["yes", "no", "Y", "n", "true", "false", "on", "off", "t", "f", "1", "0"]
+    few, many = spark.createDataFrame([(w,) for w in words[:8]], "c string"), spark.createDataFrame([(w,) for w in words], "c string")
+    assert C.infer_schema(few).first()["type"] == "bool" and C.infer_schema(many).first()["type"] == "string"
+    blanks = spark.createDataFrame([(w,) for w in words[:6] + ["-" * i for i in range(1, 8)]], "c string")
+    assert C.infer_schema(blanks).first()["type"] == "string"
+
+
+def test_long_chains_of_titles_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")
+    assert {r["root"] for r in X.connected(chain).collect()} == {0}
+
+
+def test_scratch_folders(spark, tmp_path, monkeypatch):
+    from corpusmill.sources import session
+
+    df = session.materialize(spark.range(10).withColumn("k", F.col("id") % 2), by="k")
+    path = session._PATHS[df].removeprefix("file:")
+    folders = lambda: sorted(x.name for x in __import__("pathlib").Path(path).glob("k=*"))
+    assert df.count() == 10 and folders() == ["k=0", "k=1"]
+    session.discard(df, part="k=0")
+    assert folders() == ["k=1"] and df.where("k = 1").count() == 5
+    session.discard(df)
+    assert not __import__("os").path.exists(path)
+
+    class Remote:
+        """A session on a cluster that names no shared folder."""
+
+        master, getCheckpointDir = "spark://far:7077", staticmethod(lambda: None)
+        conf = type("C", (), {"get": staticmethod(lambda key, default="file:/own/disk": None if key == "spark.checkpoint.dir" else default)})
+        sparkContext = property(lambda self: self)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Remote())
+
+
+def test_confusion(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (1, 0), (1, 1)], "label int, prediction int")
+    assert rows(D.confusion(df)) == [(0, 0, 1), (0, 1, 0), (1, 0, 1), (1, 1, 2)]
+    assert rows(D.confusion(df.limit(0))) == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0)]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill import plans
 from tests import verify
@@ -16,7 +21,11 @@ def test_query(spark, name):
     assert said.startswith(("ok", "rows")), said
 
 
-@pytest.mark.parametrize("name", ["drop_exact", "pending_tasks", "merge_last_wins", "seq_ids", "group_split", "fuzzy_resolve", "deterministic_sample"])
+#: Fitted iteratively, with sums in the order of partitions; tested on their own below.
+SLOW = {"svm_eval", "top_coefs"}
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - SLOW))
 def test_partitions_do_not_matter(spark, name):
     seen = []
     for n in ("1", "13"):
@@ -26,6 +35,81 @@ def test_partitions_do_not_matter(spark, name):
     assert seen[0] == seen[1]
 
 
+# -- queries that SQL can't express, by their definition in Python ----------------------------------
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+
+def test_seed_crc32(spark):
+    got = plans.QUERIES["seed_crc32"](spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert all(x["seed"] == zlib.crc32(f"{x['o_orderkey']}_25".encode()) for x in got)
+
+
+def test_lang_trigram(spark):
+    """Profiles and distances from their definition, over all texts."""
+    rows = documents(spark)
+
+    def grams(t):
+        flat = " " + " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()) + " "
+        return Counter(flat[i : i + 3] for i in range(len(flat) - 2))
+
+    rank = lambda c: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:300])}
+    sums: dict = {}
+    for d in rows:
+        if d["lang"] is not None and d["text"] is not None:
+            sums.setdefault(d["lang"], Counter()).update(grams(d["text"]))
+    ranks = {k: rank(c) for k, c in sums.items()}
+    got = {x["doc_id"]: x["found"] for x in plans.QUERIES["lang_trigram"](spark, SF).collect()}
+    for d in rows:
+        own = rank(grams(d["text"]))
+        want = min(sorted(ranks), key=lambda k: sum(abs(i - ranks[k][g]) if g in ranks[k] else 300 for g, i in own.items())) if own else None  # noqa: B023
+        assert got[d["doc_id"]] == want
+    assert sum(got[d["doc_id"]] == d["lang"] for d in rows) > 0.9 * len(rows)
+
+
+def test_generate_stub(spark):
+    from corpusmill.plans import rewriting
+
+    tasks = {(t["id"], t["model"], t["type"], t["sent_idx"], t["percentage"]): t["text"] for t in rewriting.pending(spark, SF).collect()}
+    got = plans.QUERIES["generate_stub"](spark, SF).collect()
+    assert len(got) == len(tasks)
+    for x in got:
+        text = tasks[x["id"], x["model"], x["type"], x["sent_idx"], x["percentage"]]
+        reply = text.swapcase()
+        if reply != text or len(text.split()) <= 6 or len(text.strip()) <= 40:
+            assert (x["status"], x["attempts"]) == ("ok", 1) and x["digest"] == hashlib.md5(reply.encode()).hexdigest()
+        else:
+            assert x["status"] == "failed" and x["attempts"] == 3
+
+
+def test_detector_figures(spark):
+    """The query's figures from its own scores, counted one by one; and the strongest terms do tell the classes apart."""
+    from corpusmill.operators import detect as D
+    from corpusmill.plans import rewriting
+
+    rows = D.group_split(rewriting.rated(spark, SF), "abstract_id")
+    ids = {True: set(), False: set()}
+    for x in rows.select("abstract_id", "is_test").collect():
+        ids[x["is_test"]].add(x["abstract_id"])
+    assert not ids[True] & ids[False] and len(ids[True]) == -(-len(ids[True] | ids[False]) // 5)
+    scored = D.Detector().fit(rows.where(~F.col("is_test"))).score(rows.where("is_test")).select("label", "score", "prediction").collect()
+    got = {x["label"]: x for x in plans.QUERIES["svm_eval"](spark, SF).collect()}
+    pos, neg = ([x["score"] for x in scored if x["label"] == k] for k in (1, 0))
+    wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+    for k in (0, 1):
+        tp = sum(x["label"] == k == x["prediction"] for x in scored)
+        said, there = (sum(x[c] == k for x in scored) for c in ("prediction", "label"))
+        assert got[k]["support"] == there and got[k]["recall"] == pytest.approx(tp / there if there else 0) and got[k]["precision"] == pytest.approx(tp / said if said else 0)
+        assert got[k]["auc"] == pytest.approx(wins / (len(pos) * len(neg)), abs=1e-6)
+    top = plans.QUERIES["top_coefs"](spark, SF).collect()
+    sides = {s: [x["weight"] for x in top if x["side"] == s] for s in ("quality 0", "quality 1")}
+    assert all(len(w) == 10 for w in sides.values()) and max(sides["quality 0"]) < 0 < min(sides["quality 1"])
+    assert all(3 <= len(x["term"]) <= 5 for x in top)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,11 @@ def clean_reply(reply: Column, source: Column) -> Column:
     return F.when(wrapped, F.substr(s, F.lit(2), F.greatest(F.length(s) - 2, F.lit(0)))).otherwise(s)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is found once: inside another lambda an expression would be found again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def targets(c: Column) -> Column:
     """texts inside target tags."""
     return F.regexp_extract_all(c, F.lit(r"(?is)<target>(.*?)</target>"), F.lit(1))
@@ -71,7 +78,8 @@ def targets(c: Column) -> Column:
 
 def tag_targets(sentences: Column, chosen: Column) -> Column:
     """F8: sentences joined by spaces, the chosen ones (0-based) in target tags."""
-    return F.array_join(F.transform(sentences, lambda s, i: F.when(F.array_contains(chosen, i), F.concat(F.lit("<target>"), s, F.lit("</target>"))).otherwise(s)), " ")
+    tag = lambda s: F.concat(F.lit("<target>"), s, F.lit("</target>"))
+    return bound(chosen, lambda places: F.array_join(F.transform(sentences, lambda s, i: F.when(F.array_contains(places, i), tag(s)).otherwise(s)), " "))
 
 
 def links(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import normalize_text, strip, tag_targets, targets
+from corpusmill.functions.text import bound, normalize_text, strip, tag_targets, targets
 
 #: What is stored where no attempt passes; order of kinds.
 FAILED = "FAILED_VALIDATION"
@@ -60,7 +60,7 @@ def all_tasks(df: DataFrame, key: str, text: str, sentences: str, models: list[s
     task = lambda kind, idx, share, body, tagged: F.struct(F.lit(kind).alias("type"), idx.cast("int").alias("sent_idx"), share.cast("int").alias("percentage"), body.alias("text"), tagged.cast("array<int>").alias("tagged"))
     none = F.lit(None)
     singles = F.transform("__sents", lambda s, i: task("sentence", i, none, s, none))
-    parts = F.transform(F.array(*[F.lit(p) for p in shares]), lambda p: task("percentage", none, p, tag_targets(F.col("__sents"), tagged_by_hash(F.col("id"), p, F.col("__sents"))), tagged_by_hash(F.col("id"), p, F.col("__sents"))))
+    parts = F.transform(F.array(*[F.lit(p) for p in shares]), lambda p: bound(tagged_by_hash(F.col("id"), p, F.col("__sents")), lambda tagged: task("percentage", none, p, tag_targets(F.col("__sents"), tagged), tagged)))
     full = F.array(task("full_abstract", none, none, F.col("__text"), none))
     return rows.select("id", "model", F.explode(F.concat(singles, parts, full)).alias("t")).select("id", "model", "t.*")
 
@@ -99,11 +99,6 @@ def stitch(sentences: Column, tagged: Column, found: Column) -> Column:
     return F.array_join(F.transform(sentences, lambda s, i: F.when(F.array_contains(order, i), strip(F.get(found, (F.array_position(order, i) - 1).cast("int")))).otherwise(s)), " ")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is found once: inside another lambda an expression would be found again for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def validate(sentences: Column, tagged: Column, reply: Column) -> Column:
     """(reason, stitched): empty, tag_count, empty_target, unchanged_target or success."""
     given = F.struct(sentences.alias("sentences"), F.array_sort(tagged).alias("tagged"), reply.alias("reply"), targets(reply).alias("found"))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import sorted_tokens, strip
+from corpusmill.functions.text import bound, sorted_tokens, strip
 
 #: Common words by language.
 STOP_WORDS = {
@@ -55,9 +55,12 @@ def merged_sentences(text: Column) -> Column:
 
 def vote_language(text: Column) -> Column:
     """The language with most common words in the text, the first in order of equals; null without any."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    score = lambda words: F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(sorted(words))})(?!\p{{L}})"))
-    best = F.array_max(F.array(*[F.struct(score(w).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("lang")) for i, (code, w) in enumerate(STOP_WORDS.items())]))
+    every = "|".join(sorted({w for words in STOP_WORDS.values() for w in words}))
+    # The text is gone through once, for the words of all languages.
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!\p{{L}})(?:{every})(?!\p{{L}})"), F.lit(0))
+    score = lambda hits, words: F.size(F.filter(hits, lambda t: t.isin(*words)))
+    scores = lambda hits: F.array(*[F.struct(score(hits, w).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("lang")) for i, (code, w) in enumerate(STOP_WORDS.items())])
+    best = bound(found, lambda hits: F.array_max(scores(hits)))
     return F.when(best["n"] > 0, best["lang"])
 
 

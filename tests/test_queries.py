@@ -70,6 +70,35 @@ def test_lang_trigram(spark):
     assert sum(got[d["doc_id"]] == d["lang"] for d in rows) > 0.9 * len(rows)
 
 
+def test_fuzzy_resolve(spark):
+    """Each title's five best by the longest common subsequence of sorted tokens, confirmed by author, resolved in order."""
+    first: dict = {}
+    for x in sorted(spark.read.parquet(f"{SF}/part.parquet").collect(), key=lambda x: x["p_partkey"]):
+        key, brand = first.get(x["p_name"], (x["p_partkey"], x["p_brand"]))
+        first[x["p_name"]] = (key, min(brand, x["p_brand"]))
+
+    def like(a, b):
+        a, b = (" ".join(sorted(t.split())) for t in (a, b))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            last = 0
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    pairs = set()
+    for t in first:
+        best = sorted((-score, u) for u in first if (score := like(t, u)) >= 60)[:5]
+        pairs |= {tuple(sorted((first[t][0], first[u][0]))) for _, u in best if u != t}
+    brands = dict(first.values())
+    gone: dict = {}
+    for a, b in sorted(pairs):
+        if like(brands[a], brands[b]) >= 80 and a not in gone and b not in gone:
+            gone[b] = a
+    got = {x["removed"]: x["kept"] for x in plans.QUERIES["fuzzy_resolve"](spark, SF).collect()}
+    assert got == gone and gone
+
+
 def test_generate_stub(spark):
     from corpusmill.plans import rewriting
 

@@ -628,7 +628,7 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
     query fails.
     """
     spark = docs.sparkSession
-    side = side or math.ceil(math.sqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    side = side or math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(key), F.col(text).cast("binary").alias("__text"), F.coalesce(F.col(train), F.lit(False)).alias("__train"))
     answered, model = fit_and_respond(rows.mapInArrow(_count_blocks(side, block), ROW), side, burn, samples)
     schema = docs.select(key).schema

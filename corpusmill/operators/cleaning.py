@@ -192,6 +192,29 @@ def mixed_types(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(per)).withColumn("__k", F.count("*").over(per)).where("__k > 1").drop("__k")
 
 
+def type_outliers(df: DataFrame, columns: list[str], most: int = 5) -> DataFrame:
+    """A10: (column, majority, outliers): the ``most`` least distinct values that aren't of a mixed column's commonest type (the greater name, of types equally common)."""
+    kinds = mixed_types(df, columns)
+    best = kinds.groupBy("column").agg(F.max_by("type", F.struct("n", "type")).alias("majority"))
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").where(~is_placeholder(F.col("v")))
+    # ``best`` has a row per column of the table at most.
+    odd = cells.join(F.broadcast(best), "column").where(cell_class(F.col("v")) != F.col("majority")).select("column", "majority", "v").distinct()
+    first = odd.withColumn("__k", F.row_number().over(W.partitionBy("column").orderBy("v"))).where(F.col("__k") <= most)
+    return first.groupBy("column", "majority").agg(F.sort_array(F.collect_list("v")).alias("outliers"))
+
+
+def narrow_types(df: DataFrame) -> DataFrame:
+    """Fractional columns that only hold whole numbers become long; not-a-number counts as null. One aggregate over the table; a column without values stays."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.FractionalType)]
+    if not names:
+        return df
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    # The bounds of a long, as doubles.
+    whole = lambda v: (v == F.floor(v)) & (v >= F.lit(-(2.0**63))) & (v < F.lit(2.0**63))
+    found = set(_chosen(df, {c: F.coalesce(F.bool_and(whole(number(c))), F.lit(False)) for c in names}))
+    return df.select(*[number(f.name).cast("long").alias(f.name) if f.name in found else F.col(f.name) for f in df.schema])
+
+
 def resolve_mixed(df: DataFrame, columns: list[str], policy: dict[str, str] | None = None) -> dict[str, str]:
     """A schema override for mixed columns by policy (default majority; string, skip or a type name) instead of a prompt."""
     names = {"int": "number", "float": "number", "str": "string", "bool": "bool", "nested": "list", "datetime": "datetime"}

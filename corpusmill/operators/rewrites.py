@@ -166,6 +166,28 @@ def align(checkpoint: DataFrame, sentences: DataFrame) -> DataFrame:
     return out.withColumn("sent_idx", F.col("__i")).withColumn("found", F.when(F.col("__i").isNotNull(), "matched").when(F.col("__there"), "text_missing").otherwise("id_missing")).drop("__i", "__t", "__there")
 
 
+def align_report(aligned: DataFrame) -> DataFrame:
+    """One row with all counts of ``align`` over the rows of ``parse_checkpoint``: loaded (parsed), matched sentences, other (results that need no sentence), unmatched (no result, or a sentence that isn't there), id_missing, corrupt and blank. An older line counts once for each of its models."""
+    ok, sentence, there = F.col("status") == "ok", F.col("type") == "sentence", F.col("found") != "id_missing"
+    result = ok & F.col("rewritten").isNotNull()
+    lost = ok & (F.col("rewritten").isNull() | there & sentence & (F.col("found") != "matched"))
+    counts = {"loaded": ok, "matched": result & sentence & (F.col("found") == "matched"), "other": result & ~sentence & there, "unmatched": lost, "id_missing": result & ~there, "corrupt": F.col("status") == "corrupt", "blank": F.col("status") == "blank"}
+    return aligned.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()])
+
+
+def older_pending(tasks: DataFrame, records: DataFrame, models: list[str]) -> DataFrame:
+    """(id, sent_idx, text) tasks times ``models`` without a record of that id, text and model; a record's result may be null, one without text doesn't count."""
+    done = records.where((F.coalesce(F.col("text"), F.lit("")) != "") & F.col("model").isin(*models)).select(F.col("id").cast("string").alias("__id"), F.col("text").alias("__text"), F.col("model").alias("__model")).distinct()
+    due = tasks.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    return due.join(done, (F.col("id").cast("string") == F.col("__id")) & (F.col("text") == F.col("__text")) & (F.col("model") == F.col("__model")), "left_anti")
+
+
+def older_lines(results: DataFrame) -> DataFrame:
+    """Results as checkpoint lines of the older form, {id, sent_idx, text, <model>: rewritten}."""
+    head = F.to_json(F.struct("id", "sent_idx", "text"), {"ignoreNullFields": "false"})
+    return results.select(F.concat(F.regexp_replace(head, r"\}$", ","), F.regexp_replace(F.to_json(F.create_map("model", "rewritten"), {"ignoreNullFields": "false"}), r"^\{", "")).alias("value"))
+
+
 def fill_missing(master: DataFrame, active: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """master's rows, and the first active row (by ``order``) of every key that master lacks; a null value in master counts as there."""
     own = master.groupBy(*keys).agg(F.min_by(F.struct(value), order).alias("m"))

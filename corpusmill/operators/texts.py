@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -234,53 +235,109 @@ def repeated_authors(df: DataFrame, author: str, handled: DataFrame, key: str) -
 # -- outlines -------------------------------------------------------------------------------------
 
 
-def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per Markdown block in order: (key, pos, kind heading|list|text, level, value)."""
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?m)^(#{1,6}\s.*)$", "\n$1\n")
+def block_array(text: Column) -> Column:
+    """The Markdown blocks of a text in order, each (kind heading|list|text, level, value); a null text has none."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^(#{1,6}\s.*)$", "\n$1\n")
     parts = F.filter(F.transform(F.split(body, r"\n\s*\n+"), strip), lambda p: p != "")
-    rows = df.select(key, F.posexplode(parts).alias("pos", "raw"))
-    mark = F.regexp_extract("raw", r"^(#{1,6})\s", 1)
-    kind = F.when(mark != "", "heading").when(F.col("raw").rlike(r"^([-*+]|\d+[.)])\s"), "list").otherwise("text")
-    items = F.array_join(F.transform(F.split("raw", r"\n"), lambda x: strip(F.regexp_replace(x, r"^\s*([-*+]|\d+[.)])\s+", ""))), " | ")
-    value = F.when(kind == "heading", strip(F.regexp_replace("raw", r"^#{1,6}\s+", ""))).when(kind == "list", items).otherwise(F.regexp_replace("raw", r"\s*\n\s*", " "))
-    return rows.select(key, "pos", kind.alias("kind"), F.length(mark).alias("level"), value.alias("value"))
 
+    def block(raw: Column) -> Column:
+        mark = F.regexp_extract(raw, r"^(#{1,6})\s", 1)
+        kind = F.when(mark != "", "heading").when(raw.rlike(r"^([-*+]|\d+[.)])\s"), "list").otherwise("text")
+        items = F.array_join(F.transform(F.split(raw, r"\n"), lambda x: strip(F.regexp_replace(x, r"^\s*([-*+]|\d+[.)])\s+", ""))), " | ")
+        value = F.when(kind == "heading", strip(F.regexp_replace(raw, r"^#{1,6}\s+", ""))).when(kind == "list", items).otherwise(F.regexp_replace(raw, r"\s*\n\s*", " "))
+        return F.struct(kind.alias("kind"), F.length(mark).alias("level"), value.alias("value"))
 
-def outline(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, chapter_no, chapter, section_path, type, block_no, value) of every block under its chapter and sections.
+    return F.transform(parts, block)
+
+
+def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per Markdown block in order: (key, pos, kind, level, value)."""
+    return df.select(key, F.posexplode(block_array(F.col(text))).alias("pos", "b")).select(key, "pos", "b.*")
+
+
+def outline_steps(rows: list[dict]) -> Iterator[tuple[str, str, int]]:
+    """What a text's blocks open and hold, as (chapter|section|inner|text|list_container, value, level).
 
     Level 1 opens a chapter; level 2 a section of it; a deeper heading goes inside the previous section,
     whatever its level (and is dropped without a chapter). Texts before any chapter go to "Introduction", a
     level-2 heading before any to "Untitled Chapter", lists before any are dropped.
     """
+    inside = False
+    for row in rows:
+        kind, level, value = row["kind"], row["level"], row["value"]
+        if kind == "heading" and level > 2 or kind == "list":
+            if inside:
+                yield ("list_container" if kind == "list" else "inner"), value, level
+            continue
+        if not inside and (kind == "text" or level == 2):
+            yield "chapter", "Introduction" if kind == "text" else "Untitled Chapter", 1
+        inside = True
+        yield ("text" if kind == "text" else "chapter" if level == 1 else "section"), value, level
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("pos", "kind", "level", "value")), strict=True))
-        chapters, chapter, path, counts, out = 0, None, [], {}, []
-        for _, kind, level, value in rows:
-            if kind == "heading":
-                if level == 1:
-                    chapters, chapter, path = chapters + 1, value, []
-                elif level == 2:
-                    if chapter is None:
-                        chapters, chapter = chapters + 1, "Untitled Chapter"
-                    path = [value]
-                elif chapter is not None:
-                    path = [*path, value]
-                continue
-            if chapter is None:
-                if kind == "list":
-                    continue
-                chapters, chapter = chapters + 1, "Introduction"
-            n = counts[(chapters, *path)] = counts.get((chapters, *path), 0) + 1
-            out.append((chapters, chapter, path, "list_container" if kind == "list" else "text", n, value))
-        k = group.column(key)[0].as_py()
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        types = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string()]
-        return pa.table([pa.array([k] * len(out), group.schema.field(key).type), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]], names=[key, "chapter_no", "chapter", "section_path", "type", "block_no", "value"])
+
+def outline(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chapter_no, chapter, section_path, type, block_no, value) of every block under its chapter and sections.
+
+    Each row is a text of its own, taken apart where it lies, without a shuffle; a null or empty text has no rows.
+    """
+    kinds = [("chapter_no", pa.int32()), ("chapter", pa.string()), ("section_path", pa.list_(pa.string())), ("type", pa.string()), ("block_no", pa.int32()), ("value", pa.string())]
+
+    def placed(rows: list[dict]) -> Iterator[tuple]:
+        no, chapter, path, n = 0, None, [], 0
+        counts: dict = {}
+        for kind, value, _ in outline_steps(rows):
+            if kind == "chapter":
+                no, chapter, path = no + 1, value, []
+            elif kind in ("section", "inner"):
+                path = [value] if kind == "section" else [*path, value]
+            else:
+                n = counts[(no, *path)] = counts.get((no, *path), 0) + 1
+                yield no, chapter, path, kind, n, value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, rows in enumerate(b.column(1).to_pylist()):
+                found = list(placed(rows))
+                if found:
+                    columns = [pa.array(list(c), t) for c, (_, t) in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(found), b.schema.field(0).type), *columns], names=[key, *[n for n, _ in kinds]])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, block_array(F.col(text)).alias("__b")).mapInArrow(run, f"`{key}` {kind}, chapter_no int, chapter string, section_path array<string>, type string, block_no int, value string")
+
+
+def tree_json(rows: list[dict]) -> tuple[str, str]:
+    """Title (that of the first chapter) and tree of one text's blocks, written as they come, so that sections may lie thousands deep."""
+    quoted = lambda x: json.dumps(x, ensure_ascii=False)
+    title, out, deep, first = None, [], 0, True
+    for kind, value, level in outline_steps(rows):
+        keep = {"chapter": 0, "section": 1}.get(kind, deep)
+        if keep < deep:
+            out.append("]}" * (deep - keep))
+            deep, first = keep, False
+        out.append("" if first else ", ")
+        if kind in ("chapter", "section", "inner"):
+            title = value if title is None else title
+            level = "" if kind == "chapter" else f'"level": {level}, '
+            out.append(f'{{"type": "{"chapter" if kind == "chapter" else "section"}", "title": {quoted(value)}, {level}"content": [')
+            deep, first = deep + 1, True
+        else:
+            out.append(f'{{"type": "{kind}", "value": {quoted(value)}}}')
+            first = False
+    title = "Extracted Document" if title is None else title
+    return title, f'{{"title": {quoted(title)}, "chapters": [{"".join(out)}{"]}" * deep}]}}'
+
+
+def outline_trees(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, title, tree) with each text's chapters, sections and blocks as nested JSON; a text without any is titled "Extracted Document"."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trees = [tree_json(rows) for rows in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in trees], pa.string()), pa.array([t for _, t in trees], pa.string())], names=[key, "title", "tree"])
 
     kind = df.schema[key].dataType.simpleString()
-    return blocks(df, key, text).groupBy(key).applyInArrow(run, f"{key} {kind}, chapter_no int, chapter string, section_path array<string>, type string, block_no int, value string")
+    return df.select(key, block_array(F.col(text)).alias("__b")).mapInArrow(run, f"`{key}` {kind}, title string, tree string")
 
 
 # -- pages ----------------------------------------------------------------------------------------

@@ -100,6 +100,19 @@ def mixed_type_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.mixed_types(mixed(spark, sf_dir), ["mixed", "number"])
 
 
+@query(f"""WITH t AS (SELECT {MIXED.format(s='VARCHAR')} AS v FROM events), c AS (SELECT v, CASE WHEN TRY_CAST(v AS BIGINT) IS NOT NULL AND NOT contains(v, '.') AND v <> 'true' THEN 'int' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL AND v <> 'true' THEN 'float' WHEN v = 'true' THEN 'bool' ELSE 'str' END AS type FROM t WHERE NOT {bad('v')}),
+m AS (SELECT type FROM c GROUP BY type ORDER BY count(*) DESC, type DESC LIMIT 1), o AS (SELECT DISTINCT v FROM c WHERE type <> (SELECT type FROM m) ORDER BY v LIMIT 5)
+SELECT 'mixed' AS "column", (SELECT type FROM m) AS majority, list(v ORDER BY v) AS outliers FROM o""")
+def mixed_type_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.type_outliers(mixed(spark, sf_dir), ["mixed", "number"])
+
+
+@query("SELECT event_id, CAST(floor(value) AS BIGINT) AS whole, value AS part, CAST(NULL AS DOUBLE) AS none, CASE WHEN event_id % 2 = 0 THEN 1::BIGINT END AS gaps FROM events")
+def narrow_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.floor("value").cast("double").alias("whole"), F.col("value").alias("part"), F.lit(None).cast("double").alias("none"), F.expr("CASE WHEN event_id % 2 = 0 THEN 1D ELSE double('NaN') END").alias("gaps"))
+    return C.narrow_types(e)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return d.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("constant", F.lit("x")).withColumn("sparse", F.expr("CASE WHEN doc_id % 100 = 0 THEN 1 END"))

@@ -255,3 +255,42 @@ def zip_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = read_text(list_zips(spark, zipped(spark, sf_dir), content=True))
     return found.select("name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT doc_id || '.md' AS name, CAST(doc_id % 3 AS INTEGER) AS worker, md5(text) AS text_md5 FROM documents")
+def archive_split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents zipped, split by worker, split again (which adds nothing), merged and read back."""
+    from corpusmill.sources.archives import list_zips, merge_stores, read_text, split_store
+
+    parts, merged = scratch_path(spark), scratch_path(spark)
+    chunks = max(1, docs(spark, sf_dir).count() // 12000)
+    members = list_zips(spark, zipped(spark, sf_dir), content=True)
+    for run in ("0", "1"):
+        split_store(members, None, parts, 3, run, chunks).collect()
+    merge_stores(list_zips(spark, parts, content=True), merged, 3 * chunks).collect()
+    worker = list_zips(spark, parts).select("name", F.regexp_extract("path", r"part_(\d+)\.[^/]*$", 1).cast("int").alias("worker"))
+    return read_text(list_zips(spark, merged, content=True)).join(worker, "name").select("name", "worker", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""SELECT url AS page_link, CASE WHEN length(url) % 3 > 0 THEN 'T ' || url END AS title, CASE WHEN length(url) % 3 > 0 THEN 1900 + length(url) END AS year, CASE WHEN length(url) % 3 > 0 THEN 'pdf:' || url END AS download_link,
+CASE WHEN length(url) % 3 = 1 THEN true WHEN length(url) % 3 = 2 THEN false END AS downloaded, CASE WHEN length(url) % 3 = 1 THEN substr(md5(url), 1, 12) || '.pdf' END AS name, CASE WHEN length(url) % 3 = 1 THEN md5('pdf:' || url) END AS body_md5 FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)""")
+def scrape_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page links gathered, described and downloaded twice over, in waves, by functions that answer from the link alone."""
+    from corpusmill.sources.archives import list_zips, stem
+    from corpusmill.sources.fetch import Scrape
+
+    links = table(spark, sf_dir, "pages").select(F.col("url").alias("page_link"))
+    folder = scratch_path(spark)
+    source = Scrape(spark, folder, "web", wave=max(100, links.count() // 4))
+
+    def facts(url: str) -> dict | None:
+        return {"title": f"T {url}", "year": 1900 + len(url), "download_link": f"pdf:{url}"} if len(url) % 3 else None
+
+    def get(link: str) -> tuple[str, bytes]:
+        return ("application/pdf; q" if len(link) % 3 == 2 else "text/html"), link.encode()
+
+    for _ in range(2):
+        state = source.run(links, facts, get)
+    files = list_zips(spark, f"{folder}/files", content=True).select("name", F.md5("content").alias("body_md5"), stem(F.col("name")).alias("__stem"))
+    out = state.withColumn("__stem", link_key(F.col("page_link"))).join(files, "__stem", "left")
+    return out.select("page_link", "title", "year", "download_link", "downloaded", "name", "body_md5")

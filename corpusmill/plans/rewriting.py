@@ -158,6 +158,23 @@ def checkpoint_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.groupBy("status", "found").agg(F.count("*").alias("n"), F.coalesce(F.sum("sent_idx"), F.lit(0)).cast("long").alias("positions"))
 
 
+@query(f"""WITH s AS (SELECT conv_id, generate_subscripts(sents, 1) - 1 AS i FROM {BRIEF}), l AS (SELECT (conv_id * 1000 + i) % 10 AS n FROM s)
+SELECT count(*) FILTER (n > 1) AS loaded, count(*) FILTER (n > 1 AND n NOT IN (4, 5)) AS matched, 0::BIGINT AS other, count(*) FILTER (n = 5) AS unmatched, count(*) FILTER (n = 4) AS id_missing, count(*) FILTER (n = 1) AS corrupt, count(*) FILTER (n = 0) AS blank FROM l""")
+def checkpoint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = R.sentence_tasks(brief(spark, sf_dir), "conv_id", "sents").withColumnRenamed("conv_id", "id")
+    return R.align_report(R.align(parse_checkpoint(log_lines(spark, sf_dir)), sentences))
+
+
+@query(f"""WITH s AS (SELECT conv_id, unnest(sents) AS t FROM {BRIEF}), m AS (SELECT unnest(['alpha', 'beta', 'gamma']) AS model), done AS (SELECT DISTINCT conv_id, t FROM s WHERE conv_id % 2 = 0)
+SELECT s.conv_id, model, count(*) AS n FROM s, m WHERE NOT (model = 'beta' AND EXISTS (SELECT 1 FROM done d WHERE d.conv_id = s.conv_id AND d.t = s.t)) GROUP BY 1, 2""")
+def older_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences times three models, of which one has written older lines for half the conversations."""
+    tasks = R.sentence_tasks(brief(spark, sf_dir), "conv_id", "sents").withColumnRenamed("conv_id", "id").select("id", "sent_idx", "text")
+    lines = R.older_lines(tasks.where("id % 2 = 0").withColumn("model", F.lit("beta")).withColumn("rewritten", F.upper("text")))
+    due = R.older_pending(tasks, parse_checkpoint(lines).where("status = 'ok'"), ["alpha", "beta", "gamma"])
+    return due.groupBy(F.col("id").alias("conv_id"), "model").agg(F.count("*").alias("n"))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of rewrites: key (user_id, event_type), some values null."""
     return table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.expr("CASE WHEN event_id % 6 <> 0 THEN value END").alias("v"))
@@ -273,6 +290,20 @@ def outline_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.outline(md, "doc_id", "md").groupBy("doc_id").agg(F.count_distinct("chapter_no").cast("int").alias("chapters"), F.count("*").alias("blocks"))
 
 
+_BODY = r"trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Introduction' ELSE 'One "1"' END AS title, '{{"title": ' || CASE WHEN doc_id % 2 = 0 THEN '"Introduction"' ELSE '"One \\"1\\""' END || ', "chapters": ['
+|| CASE WHEN doc_id % 2 = 0 THEN '{{"type": "chapter", "title": "Introduction", "content": [{{"type": "text", "value": "lead"}}]}}, ' ELSE '' END
+|| '{{"type": "chapter", "title": "One \\"1\\"", "content": [{{"type": "text", "value": ' || to_json(trim('p ' || {_BODY})) || '}}, {{"type": "section", "title": "Two", "level": 2, "content": [{{"type": "list_container", "value": "a | b"}}, {{"type": "section", "title": "Deep", "level": 4, "content": []}}]}}, {{"type": "section", "title": "Sub", "level": 2, "content": [{{"type": "text", "value": "end"}}]}}]}}, '
+|| '{{"type": "chapter", "title": "Last", "content": []}}]}}' AS tree FROM documents""")
+def outline_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+    parts = [F.expr("CASE WHEN doc_id % 2 = 0 THEN 'lead' ELSE '- early' END"), F.lit('# One "1"'), F.concat(F.lit("p "), words), F.lit("## Two\n\n- a\n- b\n\n#### Deep\n\n## Sub\nend\n# Last")]
+    return X.outline_trees(docs(spark, sf_dir).select("doc_id", F.concat_ws("\n\n", *parts).alias("md")), "doc_id", "md")
+
+
+
 # -- detector -------------------------------------------------------------------------------------
 
 

@@ -48,6 +48,12 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def list_paths(spark: SparkSession, path: str) -> list[str]:
+    """What lies right below a path of any Hadoop file system, in order (a file: itself); empty if nothing is there."""
+    hadoop_path, files = _file_system(spark, path)
+    return sorted(f.getPath().toString() for f in files.listStatus(hadoop_path)) if files.exists(hadoop_path) else []
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder that goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/corpusmill-{uuid.uuid4().hex}"

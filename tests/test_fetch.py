@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import html_to_markdown
@@ -27,3 +30,56 @@ def test_markdown_and_nan(spark):
     got = spark.createDataFrame([(html,)], "h string").select(html_to_markdown(F.col("h"))).first()[0]
     assert got == "## T & U\n\none\ntwo\n\n- a\n- b"
     assert nan_to_null(spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")).where("x IS NULL").count() == 2
+
+
+def test_cached(tmp_path):
+    def broken(url):
+        yield b"ab"
+        raise OSError(url)
+
+    path, calls = str(tmp_path / "d" / "dump.bin"), []
+    with pytest.raises(OSError):
+        S.cached("u", path, broken)
+    for _ in range(2):
+        assert S.cached("u", path, lambda url: calls.append(url) or [b"ab", b"c"]) == path
+    assert calls == ["u"] and (tmp_path / "d" / "dump.bin").read_bytes() == b"abc"
+
+
+def test_scrape(spark, tmp_path):
+    """Steps that are run again go on from what is saved: pages that had nothing, files a stop left unmarked, links that are new."""
+    folder = str(tmp_path / "s")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def facts(link, known):
+        if link == "bad":
+            raise OSError(link)
+        return known.get(link)
+
+    def get(link):
+        (asked / link).write_text((asked / link).read_text() + "x" if (asked / link).exists() else "x")
+        return {"l1": ("application/pdf", b"1"), "l2": ("text/html", b"2"), "l4": ("application/msword; x", b"4")}.get(link)
+
+    whole = {"title": "t", "last_name": "n", "college": "c", "year": "2001.0", "promoter": "p"}
+    known = {"a": {**whole, "download_link": "l1"}, "b": {**whole, "year": "n.d.", "download_link": "l2"}}
+    source = S.Scrape(spark, folder, "web", wave=2)
+    links = spark.createDataFrame([("a",), ("b",), ("bad",), (None,), ("a",)], "page_link string")
+    assert source.state().count() == 0
+    first = {r["page_link"]: r for r in source.run(links, lambda u: facts(u, known), get).collect()}
+    assert sorted(first) == ["a", "b", "bad"] and first["a"]["year"] == 2001 and first["b"]["year"] is None and first["bad"]["title"] is None
+    assert [first[k]["downloaded"] for k in ("a", "b", "bad")] == [True, False, None] and {r["source"] for r in first.values()} == {"web"}
+    # A step that broke off has no mark of success and isn't read; its number is not used again.
+    broken = tmp_path / "s" / "log" / "step-000000099"
+    shutil.copytree(tmp_path / "s" / "log" / "step-000000001", broken)
+    (broken / "_SUCCESS").unlink()
+    known["b"]["year"], known["c"] = 1999, {**whole, "download_link": "l4"}
+    again = S.Scrape(spark, folder, "web", wave=2)
+    assert again.gather(spark.createDataFrame([("a",), ("c",)], "page_link string")) == 1
+    second = {r["page_link"]: r for r in again.run(None, lambda u: facts(u, known), get).collect()}
+    assert second["b"]["year"] == 1999 and second["c"]["downloaded"] and second["a"]["title"] == "t"
+    assert {f.name: f.read_text() for f in asked.iterdir()} == {"l1": "x", "l2": "xx", "l4": "x"}
+    kinds = sorted(r["name"].split(".")[1] for r in S.list_zips(spark, f"{folder}/files").collect())
+    assert kinds == ["doc", "pdf"]
+    # A file that is there but not marked is marked, not fetched.
+    again._save(spark.createDataFrame([("a", False)], "page_link string, downloaded boolean"))
+    assert again.run(fetcher=get).where("page_link = 'a'").first()["downloaded"] and (asked / "l1").read_text() == "x"

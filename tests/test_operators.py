@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zipfile
 
@@ -121,6 +122,52 @@ def test_stores(spark, tmp_path):
     assert packed["files"] == 3 and sorted(zipfile.ZipFile(tmp_path / "out" / "1.zip").namelist()) == ["1.md", "2.json", "3.pdf"]
 
 
+def test_packing_streams(spark, tmp_path):
+    """Shards larger than a batch, equal names, nulls, and a split and merge that may be run again."""
+    data = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("shard"), F.concat(F.lit("d/"), (F.col("id") % 2500).cast("string"), F.lit(".md")).alias("name"), F.when(F.col("id") != 9, F.concat(F.lit("c"), F.col("id")).cast("binary")).alias("content"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    said = {r["shard"]: r["files"] for r in archives.pack_zips(data, str(tmp_path / "a b")).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: dict = {}
+    for r in data.where("content IS NOT NULL").collect():
+        name, key = r["name"][2:], "none" if r["shard"] is None else str(r["shard"])
+        want[key, name] = min(want.get((key, name), bytes(r["content"])), bytes(r["content"]))
+    members = archives.list_zips(spark, str(tmp_path / "a b"), content=True)
+    assert {(r["path"].rsplit("/", 1)[-1][:-4], r["name"]): bytes(r["content"]) for r in members.collect()} == want
+    assert said == {k: sum(key == k for key, _ in want) for k in said} and len(said) == 3
+
+    for folder in ("7", "x"):
+        (tmp_path / "f" / folder).mkdir(parents=True)
+        (tmp_path / "f" / folder / f"{folder}.json").write_text(folder)
+    files = archives.list_folders(spark, str(tmp_path / "f"), content=True)
+    counts = [sum(r["files"] for r in archives.split_store(members, files, str(tmp_path / "parts"), 3, run, 2).collect()) for run in "01"]
+    names = {n for _, n in want}
+    assert counts == [len(names) + 2, 0] and (tmp_path / "parts" / "part_1.0.0.zip").exists()
+    archives.merge_stores(archives.list_zips(spark, str(tmp_path / "parts"), content=True), str(tmp_path / "all")).collect()
+    assert set(zipfile.ZipFile(tmp_path / "all" / "all_0.zip").namelist()) == names | {"7.json", "x.json"}
+    named = spark.createDataFrame([("f/1_meta.json", "new"), ("f/1.json", "old"), ("g/1.json", "stays"), ("a_meta/2.md", "too"), ("3_meta.md", "moves")], "name string, content string")
+    assert rows(archives.rename_meta(named)) == rows(spark.createDataFrame([("f/1.json", "new"), ("g/1.json", "stays"), ("a_meta/2.md", "too"), ("3.md", "moves")], "name string, content string"))
+
+
+def test_types_and_reports(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.5, None, "7", 1e300), (2, None, 3.0, None, "x", 1.0)], "k int, a double, b double, c double, s string, h double")
+    assert [f.dataType.simpleString() for f in C.narrow_types(df).schema] == ["int", "bigint", "double", "double", "string", "double"]
+    assert rows(C.narrow_types(df)) == rows(df.withColumn("a", F.col("a").cast("long"))) and C.narrow_types(df.limit(0)).schema == df.schema
+    mixed = spark.createDataFrame([(x, x) for x in ("1", "2", "3", "b", "a", "a", "4.5", "true", "n/a", "")], "m string, n string")
+    got = {r["column"]: (r["majority"], r["outliers"]) for r in C.type_outliers(mixed, ["m", "n"], 3).collect()}
+    assert got == {c: ("str", ["1", "2", "3"]) for c in "mn"} and C.type_outliers(mixed.limit(0), ["m"]).count() == 0
+    tasks = spark.createDataFrame([("1", 0, "a"), ("1", 1, "a"), ("2", 0, 'q"}'), ("3", 0, None)], "id string, sent_idx int, text string")
+    lines = R.older_lines(spark.createDataFrame([("1", 0, "a", "m", None), ("2", 0, 'q"}', "n", "{x}"), ("3", 0, None, "m", "y"), ("9", 0, "a", "m", "y")], "id string, sent_idx int, text string, model string, rewritten string"))
+    assert json.loads(lines.collect()[1]["value"]) == {"id": "2", "sent_idx": 0, "text": 'q"}', "n": "{x}"}
+    log = io.parse_checkpoint(lines)
+    assert rows(R.older_pending(tasks, log, ["m", "n"]).select("id", "sent_idx", "model")) == rows(spark.createDataFrame([("1", 0, "n"), ("1", 1, "n"), ("2", 0, "m"), ("3", 0, "m"), ("3", 0, "n")], "id string, sent_idx int, model string"))
+    more = lines.unionByName(spark.createDataFrame([("",), ("{bad",), ('{"id": "1", "type": "full_abstract", "model": "m", "text": "t", "rewritten": "r"}',), ('{"id": "2", "type": "sentence", "model": "m", "text": "gone", "rewritten": "r"}',)], "value string"))
+    report = R.align_report(R.align(io.parse_checkpoint(more), tasks)).first().asDict()
+    # Without a result: record 1. With one: 2 matches, 3 has no text to match, 9 isn't a row; then a full text and a sentence that is gone.
+    assert report == {"loaded": 6, "matched": 1, "other": 1, "unmatched": 3, "id_missing": 1, "corrupt": 1, "blank": 1}
+    assert R.align_report(R.align(io.parse_checkpoint(more.limit(0)), tasks)).first().asDict() == dict.fromkeys(report, 0)
+
+
 def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", \n b', None), (2, "é\t", "x")], "i int, s string, t string")
     for kind in ("parquet", "jsonl"):
@@ -152,6 +199,41 @@ def test_outline(spark):
     assert not [r for r in got if r[0] in (2, 3)]
 
 
+def test_outline_trees(spark):
+    """Trees against nested objects built node by node; sections thousands deep."""
+    marks = ["# A", "## B", '### C "q"', "###### D", "- x\n- y", "text\nmore", "1. n"]
+    rng = random.Random(3)
+    texts = ["\n\n".join(rng.choices(marks, k=rng.randint(0, 12))) for _ in range(60)] + [None, "", "# A\n\n" + "### in\n\n" * 5000 + "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, md string")
+    kept = {r["id"]: r for r in X.outline_trees(df, "id", "md").collect()}
+    parts = {r["id"]: r["b"] for r in df.select("id", X.block_array(F.col("md")).alias("b")).collect()}
+    assert len(kept) == len(texts) and kept[62]["tree"].endswith('"value": "end"}' + "]}" * 5002) and kept[62]["title"] == "A"
+    for i in range(62):
+        chapters, chapter, section = [], None, None
+
+        def begin(title, chapters=chapters):
+            chapters.append({"type": "chapter", "title": title, "content": []})
+            return chapters[-1]
+
+        for kind, level, value in parts[i]:
+            if kind == "heading" and level == 1:
+                chapter, section = begin(value), None
+            elif kind == "heading":
+                if level == 2:
+                    chapter = chapter or begin("Untitled Chapter")
+                home = chapter if level == 2 else section or chapter
+                if home:
+                    section = {"type": "section", "title": value, "level": level, "content": []}
+                    home["content"].append(section)
+            elif kind == "text" or chapter:
+                chapter = chapter or begin("Introduction")
+                (section or chapter)["content"].append({"type": "text" if kind == "text" else "list_container", "value": value})
+        title = chapters[0]["title"] if chapters else "Extracted Document"
+        assert json.loads(kept[i]["tree"]) == {"title": title, "chapters": chapters} and kept[i]["title"] == title
+    one = spark.createDataFrame([(1, "# A\n\nx"), (1, "y"), (None, "z")], "id int, md string")
+    assert rows(X.outline(one, "id", "md").select("id", "chapter", "block_no", "value")) == rows(spark.createDataFrame([(1, "A", 1, "x"), (1, "Introduction", 1, "y"), (None, "Introduction", 1, "z")], "id int, chapter string, block_no int, value string"))
+
+
 def test_pages(spark):
     html = '<html lang="nl"><h1 class=x> Hi </h1><div class="a b">one <br> <p>two</p></div><div class="a">three</div>'
     got = spark.createDataFrame([(html,), (None,)], "h string").select(X.class_texts(F.col("h"), ("a", "z")).alias("m")).collect()

@@ -150,6 +150,13 @@ def generate(tasks: DataFrame, rewrite: Rewriter, prompts: dict[str, str], attem
     return dealt.mapInPandas(run, f"{fields}, rewritten string, status string, attempts int")
 
 
+def generate_pending(tasks: DataFrame, done: DataFrame, rewrite: Rewriter, prompts: dict[str, str], kinds: tuple[str, ...] = (), debug: int | None = None, attempts: int = 3, seed: int = 42) -> DataFrame:
+    """Results of the tasks without one, of some kinds only if ``kinds`` are given, and of each model, kind and share the first ``debug`` only if that is (a trial run)."""
+    due = pending_tasks(tasks, done)
+    due = due.where(F.col("type").isin(*kinds)) if kinds else due
+    return generate(due if debug is None else first_per_kind(due, debug), rewrite, prompts, attempts, seed)
+
+
 def swap_case(prompt: str, text: str, model: str, seed: int) -> str:
     """A rewriter for tests and offline use."""
     return (text or "").swapcase()

@@ -149,30 +149,35 @@ def bag_bound(a: Column, b: Column) -> Column:
     return F.aggregate(F.map_entries(a), F.lit(0), lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0))))
 
 
-#: Parts that a class of titles is cut into.
-SALTS = 8
+#: Titles of one side that a task of the comparison meets, where they are spread evenly.
+SIDE = 4_000
 
 
 def fuzzy_pairs(titles: DataFrame, title: str, threshold: float = 60.0, limit: int = 5) -> DataFrame:
     """(t1, t2, score) of distinct titles among each other's ``limit`` best by F17 (the title itself counted, ties by text), at ``threshold`` or more.
 
     Titles meet by length class, equal or neighbouring, so that none meets those whose length alone rules a
-    match out; pairs whose bags of characters do so are dropped next. What is left is scored in Arrow batches.
-    One side of a class is cut by hash into ``SALTS`` parts and the other goes to each, so no class is one task.
+    match out; pairs whose bags of characters do so are dropped next. What is left is scored in Arrow batches, each
+    pair once. Both sides of a class are cut by hash into parts that follow the number of titles, and each part of
+    one meets each of the other, so a task's share doesn't grow with a class; copies grow with the number of parts.
     """
     t = titles.select(F.col(title).alias("t")).where(F.col(title).isNotNull()).distinct()
+    cuts = max(2, -(-t.count() // SIDE))
     t = t.withColumn("s", sorted_tokens(F.col("t"))).withColumn("n", F.length("s"))
     # 2 min / (a + b) >= threshold / 100 bounds the ratio of lengths, so classes on a log scale meet only near ones.
     ratio = (200 - threshold) / threshold
     t = t.withColumn("c", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(ratio)).cast("int"))
     letters = F.split("s", "")
     t = t.withColumn("bag", F.map_from_entries(F.transform(F.array_distinct(letters), lambda c: F.struct(c, F.size(F.filter(letters, lambda x: x == c))))))
-    part = F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")
-    left = t.select("t", "s", "n", "bag", part.alias("part"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"))
-    right = t.select(F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("bag").alias("bag2"), "c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    near = left.join(right, ["c", "part"]).where(200 * F.least("n", "n2") >= threshold * (F.col("n") + F.col("n2")))
+    part, all_parts = F.pmod(F.xxhash64("t"), F.lit(cuts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))
+    left = t.select("t", "s", "n", "bag", "c", part.alias("p"), all_parts.alias("p2"))
+    left = left.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    right = t.select(F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("bag").alias("bag2"), "c", part.alias("p2"), all_parts.alias("p"))
+    near = left.join(right, ["c", "p", "p2"]).where((F.col("t") < F.col("t2")) & (200 * F.least("n", "n2") >= threshold * (F.col("n") + F.col("n2"))))
     near = near.where(200 * bag_bound(F.col("bag"), F.col("bag2")) >= threshold * (F.col("n") + F.col("n2")))
     scored = near.withColumn("score", similarity("s", "s2")).where(F.col("score") >= threshold)
+    either = F.array(F.struct("t", "t2"), F.struct(F.col("t2").alias("t"), F.col("t").alias("t2")))
+    scored = scored.select("score", F.explode(either).alias("e")).select("e.*", "score").unionByName(t.select("t", F.col("t").alias("t2"), F.lit(100.0).alias("score")))
     best = W.partitionBy("t").orderBy(F.desc("score"), "t2")
     return scored.withColumn("__k", F.row_number().over(best)).where((F.col("__k") <= limit) & (F.col("t") != F.col("t2"))).select(F.col("t").alias("t1"), "t2", "score")
 

@@ -9,11 +9,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import link_key
+from corpusmill.functions.text import file_kind, link_key
 from corpusmill.operators.integrate import downloadable, incomplete, insert_new
 from corpusmill.sources.archives import list_zips, open_place, pack_zips
 from corpusmill.sources.session import discard, list_paths, materialize
@@ -64,6 +64,36 @@ def missing_downloads(metadata: DataFrame, stems: DataFrame, key: str = "id") ->
     return downloadable(metadata).join(stems.select(F.col("stem").alias(key)).distinct(), key, "left_anti")
 
 
+def _fetch_into(place: str, rows: DataFrame, url: str, fetcher: Fetcher, delay: tuple[float, float], kind: Column, per_zip: int) -> DataFrame:
+    """Fetch the files of ``rows`` (``stem`` names them, ``kind`` is their extension), zip those of a known kind under ``place``; returns ``rows`` with ``kind``, null where nothing was kept."""
+    kept = (F.col("status") == "ok") & F.col("body").isNotNull()
+    got = materialize(fetch(rows, url, fetcher, delay).withColumn("kind", F.when(kept, kind)))
+    parts, run = max(1, -(-got.count() // per_zip)), uuid.uuid4().hex
+    packed = got.where("kind IS NOT NULL").select(F.concat(F.lit(f"{run}-"), F.pmod(F.xxhash64("stem"), F.lit(parts))).alias("shard"), F.concat_ws(".", "stem", "kind").alias("name"), F.col("body").alias("content"))
+    pack_zips(packed, place).write.format("noop").mode("overwrite").save()
+    return got
+
+
+def download_missing(metadata: DataFrame, place: str, fetcher: Fetcher, key: str = "id", delay: tuple[float, float] = (0.0, 0.0), per_zip: int = 5_000) -> DataFrame:
+    """Fetch the files of rows that aren't downloaded into zips under ``place``; returns ``metadata`` with ``downloaded`` brought up to date.
+
+    True where a zip has the key, false where there is no link or nothing was got; extensions by media type, else by
+    link (F11). A null key is never fetched, a repeated one once (from the least of its links).
+    """
+    spark = metadata.sparkSession
+    stems = lambda: list_zips(spark, place).select(F.col("stem").alias("__stem")).distinct()
+    todo = downloadable(metadata).where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("stem")).agg(F.min("download_link").alias("link"))
+    if list_paths(spark, place):
+        todo = todo.join(stems(), F.col("stem") == F.col("__stem"), "left_anti")
+    todo = materialize(todo)
+    if todo.limit(1).count():
+        discard(_fetch_into(place, todo, "link", fetcher, delay, file_kind(F.col("mime"), F.col("link")), per_zip))
+    discard(todo)
+    there = stems().withColumn("__there", F.lit(True)) if list_paths(spark, place) else spark.createDataFrame([], "__stem string, __there boolean")
+    out = metadata.join(there, F.col(key).cast("string") == F.col("__stem"), "left")
+    return out.withColumn("downloaded", F.coalesce(F.col("__there"), F.col("downloaded").eqNullSafe(True))).select(*metadata.columns)
+
+
 def cached(url: str, path: str, chunks: Callable[[str], Iterable[bytes]]) -> str:
     """A dump's path, fetched chunk by chunk unless a finished copy is there; a copy that broke off is never taken for one."""
     files, place = open_place(path)
@@ -167,12 +197,8 @@ class Scrape:
         for rows in self._waves(todo):
             mime = F.lower(F.coalesce("mime", F.lit("")))
             kind = F.coalesce(*[F.when(F.contains(mime, F.lit(m)), F.lit(e)) for m, e in KEPT.items()])
-            got = materialize(fetch(rows, "download_link", fetcher, self.delay).withColumn("kind", F.when(F.col("status") == "ok", kind)))
-            parts = max(1, -(-got.count() // per_zip))
-            run = uuid.uuid4().hex
-            packed = got.where("kind IS NOT NULL AND body IS NOT NULL").select(F.concat(F.lit(f"{run}-"), F.pmod(F.xxhash64("stem"), F.lit(parts))).alias("shard"), F.concat_ws(".", "stem", "kind").alias("name"), F.col("body").alias("content"))
-            pack_zips(packed, place).write.format("noop").mode("overwrite").save()
-            self._save(got.select("page_link", F.expr("kind IS NOT NULL AND body IS NOT NULL").alias("downloaded")))
+            got = _fetch_into(place, rows, "download_link", fetcher, self.delay, kind, per_zip)
+            self._save(got.select("page_link", F.col("kind").isNotNull().alias("downloaded")))
             discard(got)
 
     def run(self, links: DataFrame | None = None, facts: Facts | None = None, fetcher: Fetcher | None = None) -> DataFrame:

@@ -17,19 +17,20 @@ def read_log(spark: SparkSession, folder: str, files_per_batch: int = 100) -> Da
     return parse_checkpoint(lines).where("status = 'ok'").select(*KEYS, "rewritten")
 
 
-def merge_log(spark: SparkSession, folder: str, target: str, state: str) -> StreamingQuery:
+def merge_log(spark: SparkSession, folder: str, target: str, state: str, seed: DataFrame | None = None) -> StreamingQuery:
     """Append each batch's new keys to ``target`` (fill-missing: what is there wins, a null counts as there).
 
-    A batch goes to a folder of its own number, so one that is run again after a failure replaces itself.
+    Keys that earlier batches had are known from the stream's own state (by key, on the executors), so no batch
+    reads the target; ``seed`` holds keys that are there already from elsewhere, and is read by each. A batch goes to
+    a folder of its own number, so one that is run again after a failure replaces itself.
     """
+    fill = lambda df: df.withColumn("__k", F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in KEYS])))
+    fresh = fill(read_log(spark, folder))
+    if seed is not None:
+        fresh = fresh.join(fill(seed).select("__k").distinct(), "__k", "left_anti")
+    fresh = fresh.dropDuplicates(["__k"]).drop("__k")
 
     def add(batch: DataFrame, number: int) -> None:
-        fill = lambda df: df.withColumn("__k", F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in KEYS])))
-        fresh = fill(batch).dropDuplicates(["__k"])
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            there = spark.read.option("basePath", target).parquet(target).where(F.col("batch") < number)
-            fresh = fresh.join(fill(there).select("__k"), "__k", "left_anti")
-        fresh.drop("__k").write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return read_log(spark, folder).writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return fresh.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -83,3 +83,22 @@ def test_scrape(spark, tmp_path):
     # A file that is there but not marked is marked, not fetched.
     again._save(spark.createDataFrame([("a", False)], "page_link string, downloaded boolean"))
     assert again.run(fetcher=get).where("page_link = 'a'").first()["downloaded"] and (asked / "l1").read_text() == "x"
+
+
+def test_download_missing(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def get(link):
+        (calls / link.replace("/", "_")).touch()
+        return {"a.pdf": ("application/octet-stream", b"a"), "b": ("application/pdf", b"b"), "e": ("text/html", b"")}.get(link)
+
+    schema = "id long, download_link string, downloaded boolean, stem string"
+    meta = spark.createDataFrame([(1, "a.pdf", None, "x"), (2, "b", False, None), (3, None, None, None), (4, "gone", None, None), (5, "z", True, None), (None, "n", None, None), (2, "c", None, None)], schema)
+    place = str(tmp_path / "files")
+    for _ in range(2):
+        got = S.download_missing(meta, place, get)
+        assert sorted((r["id"] or 0, r["downloaded"]) for r in got.collect()) == [(0, False), (1, True), (2, True), (2, True), (3, False), (4, False), (5, True)]
+    assert sorted(f.name for f in calls.iterdir()) == ["a.pdf", "b", "gone"] and got.columns == meta.columns
+    assert sorted(r["name"][0] for r in S.list_zips(spark, place).collect()) == ["1", "2"]
+    assert S.download_missing(meta.limit(0), str(tmp_path / "none"), get).count() == 0

@@ -189,6 +189,35 @@ def test_fuzzy_rows(spark):
     assert rows(X.resolve_fuzzy(df, "title", "author", "id")) == [(1, 2), (6, 3)]
 
 
+def test_fuzzy_parts(spark, monkeypatch):
+    """Any number of parts gives what comparing all titles gives."""
+    rng = random.Random(5)
+    words = ["red", "blue", "great", "pine", "old", "steel", "oak"]
+    titles = sorted({" ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in range(70)})
+
+    def score(a, b):
+        x, y = (" ".join(sorted(v.split())) for v in (a, b))
+        return 200.0 * X.subsequence_length(x, y) / (len(x) + len(y)) if x or y else 100.0
+
+    want = set()
+    for a in titles:
+        best = sorted((-score(a, b), b) for b in titles if score(a, b) >= 60)[:5]
+        want |= {(a, b, -s) for s, b in best if b != a}
+    df = spark.createDataFrame([(t,) for t in [*titles, *titles, None]], "t string")
+    for side in (7, 1000):
+        monkeypatch.setattr(X, "SIDE", side)
+        assert {tuple(r) for r in X.fuzzy_pairs(df, "t").collect()} == want
+    assert X.fuzzy_pairs(df.limit(0), "t").count() == 0
+
+
+def test_generate_pending(spark):
+    tasks = spark.createDataFrame([(str(i), m, k, i % 3 if k == "sentence" else None, None, f"text {i}") for i in range(6) for m in "ab" for k in ("sentence", "full_abstract")], "id string, model string, type string, sent_idx int, percentage int, text string")
+    done = spark.createDataFrame([("0", "a", "sentence", 0, None, "x"), ("1", "a", "full_abstract", None, None, "")], "id string, model string, type string, sent_idx int, percentage int, rewritten string")
+    got = R.generate_pending(tasks, done, R.swap_case, {}, ("sentence",), 2).collect()
+    assert sorted((r["id"], r["model"], r["rewritten"]) for r in got) == [("0", "b", "TEXT 0"), ("1", "a", "TEXT 1"), ("1", "b", "TEXT 1"), ("2", "a", "TEXT 2")]
+    assert R.generate_pending(tasks, done, R.swap_case, {}).count() == 23
+
+
 def test_outline(spark):
     md = "lead\n\n- dropped? no\n\n# C1\ntext one\n## S\n### D\n### E\npara\nmore\n\n1. x\n2. y\n\n# C2\n\n# C3\nlast"
     got = rows(X.outline(spark.createDataFrame([(1, md), (2, "- early"), (3, None)], "id int, md string"), "id", "md"))

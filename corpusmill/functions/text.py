@@ -139,8 +139,15 @@ def common_subsequence(a: Column, b: Column) -> Column:
 
 
 def html_to_markdown(c: Column) -> Column:
-    """Headings, list items, paragraphs and line breaks of simple HTML as Markdown; other tags go, common entities are decoded."""
+    """Headings, list items, paragraphs, line breaks, links, images, emphasis, code and rules of simple HTML as Markdown; other tags go, common entities are decoded."""
     s = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
+    s = F.regexp_replace(s, r"(?is)<pre(?:\s[^>]*)?>\s*(?:<code[^>]*>)?(.*?)(?:</code>)?\s*</pre>", "\n\n```\n$1\n```\n\n")
+    for tags, mark in (("b|strong", "**"), ("i|em", "*"), ("code", "`")):
+        s = F.regexp_replace(s, rf"(?is)<({tags})(?:\s[^>]*)?>(.*?)</\1>", f"{mark}$2{mark}")
+    for attribute, other in (("alt", "src"), ("src", "alt")):
+        s = F.regexp_replace(s, rf'(?is)<img\s[^>]*?\b{attribute}="([^"]*)"[^>]*?\b{other}="([^"]*)"[^>]*>', "![$1]($2)" if attribute == "alt" else "![$2]($1)")
+    s = F.regexp_replace(s, r"""(?is)<a\s[^>]*?\bhref=["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)")
+    s = F.regexp_replace(s, r"(?i)<hr(?:\s[^>]*)?/?>", "\n\n---\n\n")
     for level in range(1, 7):
         s = F.regexp_replace(s, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + " $1\n\n")
     s = F.regexp_replace(F.regexp_replace(s, r"(?is)<li[^>]*>(.*?)</li>", "\n- $1"), r"(?i)<br\s*/?>", "\n")

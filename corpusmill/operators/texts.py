@@ -240,17 +240,27 @@ def repeated_authors(df: DataFrame, author: str, handled: DataFrame, key: str) -
 # -- outlines -------------------------------------------------------------------------------------
 
 
+def inline_text(c: Column) -> Column:
+    """A Markdown text without its marks: images and links by their words, code and emphasis around words by what they hold, escaped characters by themselves."""
+    c = F.regexp_replace(c, r"!?\[([^\[\]]*)\]\([^()\s]*\)", "$1")
+    c = F.regexp_replace(c, r"`([^`]+)`", "$1")
+    for mark, other in ((r"\*", "*"), ("_", "_")):
+        c = F.regexp_replace(c, rf"(?U)(?<![\w{other}\\]){mark}{{1,3}}(?=[\w&&[^_]])([^{other}]*[\w.,;:!?)&&[^_]]){mark}{{1,3}}(?![\w{other}])", "$1")
+    return F.regexp_replace(c, r"\\([!-/:-@\[-`{-~])", "$1")
+
+
 def block_array(text: Column) -> Column:
-    """The Markdown blocks of a text in order, each (kind heading|list|text, level, value); a null text has none."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^(#{1,6}\s.*)$", "\n$1\n")
-    parts = F.filter(F.transform(F.split(body, r"\n\s*\n+"), strip), lambda p: p != "")
+    """The Markdown blocks of a text in order, each (kind heading|list|text, level, value); a null text has none. Fenced code, quotes and rules between parts are none of these and are left out."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?ms)^(```|~~~).*?(^\1[`~]*[ \t]*$|\z)", "\n\n")
+    body = F.regexp_replace(body, r"(?m)^(#{1,6}\s.*)$", "\n$1\n")
+    parts = F.filter(F.transform(F.split(body, r"\n\s*\n+"), strip), lambda p: (p != "") & ~p.rlike(r"^>|^([-*_])(\s*\1){2,}$"))
 
     def block(raw: Column) -> Column:
         mark = F.regexp_extract(raw, r"^(#{1,6})\s", 1)
         kind = F.when(mark != "", "heading").when(raw.rlike(r"^([-*+]|\d+[.)])\s"), "list").otherwise("text")
         items = F.array_join(F.transform(F.split(raw, r"\n"), lambda x: strip(F.regexp_replace(x, r"^\s*([-*+]|\d+[.)])\s+", ""))), " | ")
         value = F.when(kind == "heading", strip(F.regexp_replace(raw, r"^#{1,6}\s+", ""))).when(kind == "list", items).otherwise(F.regexp_replace(raw, r"\s*\n\s*", " "))
-        return F.struct(kind.alias("kind"), F.length(mark).alias("level"), value.alias("value"))
+        return F.struct(kind.alias("kind"), F.length(mark).alias("level"), inline_text(value).alias("value"))
 
     return F.transform(parts, block)
 

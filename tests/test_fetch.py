@@ -29,6 +29,9 @@ def test_markdown_and_nan(spark):
     html = "<h2 class=x>T &amp; U</h2><p>one<br/>two</p><ul><li>a</li><li>b</li></ul><script>no</script>"
     got = spark.createDataFrame([(html,)], "h string").select(html_to_markdown(F.col("h"))).first()[0]
     assert got == "## T & U\n\none\ntwo\n\n- a\n- b"
+    html = '<p><b>B</b> <i class=x>i</i> <a class="k" href="/u">link</a> <img src="s.png" alt="pic"> <code>c_d</code></p><hr><blockquote>q</blockquote><body>z</body><pre><code>a\n\n# b</code></pre>'
+    got = spark.createDataFrame([(html,)], "h string").select(html_to_markdown(F.col("h"))).first()[0]
+    assert got == "**B** *i* [link](/u) ![pic](s.png) `c_d`\n\n---\n\nqz\n\n```\na\n\n# b\n```"
     assert nan_to_null(spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")).where("x IS NULL").count() == 2
 
 

@@ -228,6 +228,15 @@ def test_outline(spark):
     assert not [r for r in got if r[0] in (2, 3)]
 
 
+def test_inline_marks(spark):
+    cases = {"**B** *i* ***x y.*** _u_ __v__": "B i x y. u v", "[l](/u) ![p](s) `c_d`": "l p c_d", "a_b_c 2*3*4 * x * #*$ *": "a_b_c 2*3*4 * x * #*$ *", "\\*no\\* \\# \\a": "*no* # \\a", "": ""}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
+    assert [tuple(r) for r in df.select(X.inline_text(F.col("t")).alias("got"), "want").where("got <> want").collect()] == []
+    md = "# **A** b\n\n> quote\n\n---\n\n```py\n# no\n\nno\n```\n- *x*\n- y\n\n* * *\n\nlast\n\n~~~\nopen"
+    got = spark.createDataFrame([(md,)], "t string").select(F.explode(X.block_array(F.col("t"))).alias("b")).select("b.*").collect()
+    assert [(r["kind"], r["value"]) for r in got] == [("heading", "A b"), ("list", "x | y"), ("text", "last")]
+
+
 def test_outline_trees(spark):
     """Trees against nested objects built node by node; sections thousands deep."""
     marks = ["# A", "## B", '### C "q"', "###### D", "- x\n- y", "text\nmore", "1. n"]

@@ -13,7 +13,7 @@ from corpusmill.operators import texts as X
 from corpusmill.plans.integration import VOTE
 from corpusmill.plans.registry import query
 from corpusmill.sources.io import parse_checkpoint
-from corpusmill.sources.session import table
+from corpusmill.sources.session import materialize, table
 
 MODELS, SHARES = ["alpha", "beta"], (25, 50, 75)
 
@@ -348,9 +348,9 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def svm_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.group_split(rated(spark, sf_dir), "abstract_id")
+    rows = D.group_split(materialize(rated(spark, sf_dir)), "abstract_id")
     net = D.Detector().fit(rows.where(~F.col("is_test")))
-    scored = net.score(rows.where("is_test"))
+    scored = materialize(net.score(rows.where("is_test")).select("label", "score", "prediction"))
     return D.report(scored).crossJoin(F.broadcast(D.auc(scored, "score", "label")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import zipfile
 
@@ -380,3 +381,70 @@ def test_confusion(spark):
     df = spark.createDataFrame([(0, 0), (1, 1), (1, 0), (1, 1)], "label int, prediction int")
     assert rows(D.confusion(df)) == [(0, 0, 1), (0, 1, 0), (1, 0, 1), (1, 1, 2)]
     assert rows(D.confusion(df.limit(0))) == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0)]
+
+
+def spark_svm(df, iterations):
+    """Terms' weights and intercept by Spark's own CountVectorizer, IDF, Normalizer and LinearSVC."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    log = F.udf(lambda v: Vectors.sparse(v.size, v.indices, [1 + math.log(x) for x in v.values]), VectorUDT())
+    grams = df.withColumn("grams", D.char_ngrams(F.col("text")))
+    counter = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=2**31 - 1, minDF=1).fit(grams)
+    logs = counter.transform(grams).withColumn("log_tf", log("tf"))
+    norm = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(IDF(inputCol="log_tf", outputCol="raw").fit(logs).transform(logs))
+    model = LinearSVC(featuresCol="features", labelCol="label", regParam=1e-3, maxIter=iterations).fit(norm)
+    return dict(zip(counter.vocabulary, model.coefficients.toArray().tolist(), strict=True)), model.intercept
+
+
+@pytest.mark.parametrize("iterations", [3, 25])
+def test_detector_fits_as_spark_does(spark, iterations):
+    """Also with short, blank, repeated and very repetitive texts, and where trials of a step go on (25 iterations)."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["good", "fine", "bad", "poor", "red", "blue", "x\U0001f600y"]) for _ in range(r.randint(1, 40))) for _ in range(60)] + ["ab", "ab", "so  so", "é" * 900, "no" * 400]
+    df = spark.createDataFrame([(t, int("good" in t) ^ (i % 9 == 0)) for i, t in enumerate(texts)], "text string, label int").repartition(5)
+    want, intercept = spark_svm(df, iterations)
+    net = D.Detector(iterations=iterations).fit(df)
+    got = dict(zip(net.counter.vocabulary, net.coefficients.tolist(), strict=True))
+    assert got.keys() == want.keys() and net.intercept == pytest.approx(intercept, abs=1e-6)
+    assert max(abs(got[t] - want[t]) for t in want) < 1e-6
+
+
+def test_packed_documents():
+    """Three bytes an n-gram, whatever the gaps and counts; n-grams of more than 4,095 characters too."""
+    from collections import Counter
+
+    import numpy as np
+
+    from corpusmill.operators import margins as M
+
+    r = random.Random(2)
+    texts = ["".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(9000)), "ab" * 700, "", "xy", "abcab" + chr(0x4E00)]
+    for some in (texts, texts[1:]):
+        coder = M.Coder(M.distinct(M.code_points(t) for t in some))
+        if coder.wide:
+            coder.threes = M.distinct(coder.of_three(coder.digits(t)) for t in some)
+        assert coder.wide == (some is texts)
+        for t in some:
+            want = Counter(t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1))
+            assert Counter(coder.term(k) for k in coder.keys(t)) == want
+    keys = np.arange(1, 200_001, dtype=np.uint64)
+
+    class Wide:
+        keys = staticmethod(lambda text: np.repeat(np.array([1, 70_000, 199_999], np.uint64), [1, 254, 5000]))
+
+    lexicon = M.Lexicon(Wide(), keys, np.arange(200_000, dtype=np.int32), np.ones(200_000), 1)
+    (chunk,) = M.pack([("a", 1), ("b", 0)], lexicon)
+    ids, logs = M.unpack(chunk)
+    at = np.flatnonzero(logs)
+    assert ids[at].tolist() == [0, 69_999, 199_998] * 2 and logs[at] == pytest.approx([1, 1 + math.log(254), 1 + math.log(5000)] * 2)
+    with pytest.raises(ValueError, match="labels"):
+        list(M.pack([("a", 2)], lexicon))
+
+
+def test_detector_without_rows(spark):
+    none = spark.createDataFrame([], "text string, label int")
+    net = D.Detector().fit(none)
+    assert net.score(none).count() == 0 and net.strongest(spark).count() == 0
+    assert D.Detector(iterations=2).fit(spark.createDataFrame([("ab", 1), (None, 0)], "text string, label int")).strongest(spark).count() == 0

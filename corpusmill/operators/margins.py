@@ -97,7 +97,7 @@ def distinct(parts: Iterable[np.ndarray], most: int = 4_000_000) -> np.ndarray:
     return np.unique(np.concatenate([found, *held]))
 
 
-def frequencies(texts: Iterable[str], coder: Coder, occurrences: bool, most: int = 6_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def frequencies(texts: Iterable[str], coder: Coder, occurrences: bool, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(keys, documents that have them, occurrences) of runs of texts; without ``occurrences`` the last are the documents again."""
     held, tfs, n = [], [], 0
 
@@ -112,7 +112,8 @@ def frequencies(texts: Iterable[str], coder: Coder, occurrences: bool, most: int
     for text in texts:
         u, tf = np.unique(coder.keys(text), return_counts=True)
         held.append(u)
-        tfs.append(tf)
+        if occurrences:
+            tfs.append(tf)
         n += len(u)
         if n > most:
             yield flush()
